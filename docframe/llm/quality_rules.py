@@ -154,6 +154,16 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: LineRules = Li
     ).drop("_all_lines", "_good")
 
 
+def keep_good(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """The rows that the rules keep, with the input's columns.
+
+    The optimizer would move a filter on ``kept`` below the steps that it is made of and write each of them out again
+    wherever it is used. A condition that it takes for non-deterministic stays where it is.
+    """
+    judged = apply_quality_rules(df, text, rules).withColumn("kept", F.col("kept") & (F.rand(0) >= 0))
+    return judged.where("kept").select(*df.columns)
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Digest of :func:`apply_quality_rules` over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
