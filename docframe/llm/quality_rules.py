@@ -158,10 +158,10 @@ def keep_good(df: DataFrame, text: str = "text", rules: LineRules = LineRules())
     """The rows that the rules keep, with the input's columns.
 
     The optimizer would move a filter on ``kept`` below the steps that it is made of and write each of them out again
-    wherever it is used. A condition that it takes for non-deterministic stays where it is.
+    wherever it is used; it does not move a filter below the generator that its column comes from.
     """
-    judged = apply_quality_rules(df, text, rules).withColumn("kept", F.col("kept") & (F.rand(0) >= 0))
-    return judged.where("kept").select(*df.columns)
+    judged = apply_quality_rules(df, text, rules)
+    return judged.select(*df.columns, F.explode(F.array("kept")).alias("_kept")).where("_kept").select(*df.columns)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
