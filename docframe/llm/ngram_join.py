@@ -48,9 +48,9 @@ BROADCAST_ROWS = 400_000
 #: Partners of one class that are verified in one group.
 GROUP = 128
 #: More star rounds are made while the buckets hold more open pairs for each of their rows than this.
-STAR_ROUNDS, PAIRS_PER_ROW = 8, 16
-#: A round that links less than this share of its pairs is the last one.
-FRUITFUL = 0.25
+STAR_ROUNDS, PAIRS_PER_ROW = 6, 16
+#: Centres of a bucket from the second round on. A round that links less than this share of its pairs is the last.
+CENTRES, FRUITFUL = 8, 0.02
 EARLIER = 8
 _PART = 1 << 22  # bytes of text split at a time
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -324,18 +324,23 @@ def _pairs_apart(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars_apart(members: DataFrame, links: DataFrame, reps: DataFrame, percent: int, round_: int) -> DataFrame:
-    """Pairs of each bucket's new centre with its members of other components.
+    """Pairs of each bucket's new centres with its members of other components.
 
-    The centre is the member with the most links so far in the first round, any member (by hash) in later ones.
+    In the first round the centre is the member with the most links so far, in later ones several members, by hash.
     """
-    ends = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep")))
-    degree = ends.groupBy("rep").count().join(reps.select("node", "rep"), "rep").select("node", "count")
-    rank = F.xxhash64("node", F.lit(round_))
+    place = ("node", "size", "pos", "component")
     if round_ == 1:
+        ends = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep")))
+        degree = ends.groupBy("rep").count().join(reps.select("node", "rep"), "rep").select("node", "count")
         members = members.join(degree, "node", "left")
-        rank = -F.coalesce("count", F.lit(0))
-    centre = members.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "pos", "component")).alias("c"))
-    met = members.join(centre, "gram").where(
+        ranks = [-F.coalesce("count", F.lit(0))]
+    else:
+        ranks = [F.xxhash64("node", F.lit(CENTRES * round_ + k)) for k in range(CENTRES)]
+    least = [F.min(F.struct(rank.alias("rank"), *place)).alias(f"c{k}") for k, rank in enumerate(ranks)]
+    centres = members.groupBy("gram").agg(*least)
+    bare = [F.struct(*[F.col(f"c{k}.{p}").alias(p) for p in place]) for k in range(len(ranks))]
+    centres = centres.select("gram", F.explode(F.array_distinct(F.array(*bare))).alias("c"))
+    met = members.join(centres, "gram").where(
         (F.col("c.component") != F.col("component"))
         & _may_link(percent, F.col("c.size"), F.col("c.pos"), F.col("size"), F.col("pos"))
     )
