@@ -48,9 +48,9 @@ BROADCAST_ROWS = 400_000
 #: Partners of one class that are verified in one group.
 GROUP = 128
 #: More star rounds are made while the buckets hold more open pairs for each of their rows than this.
-STAR_ROUNDS, PAIRS_PER_ROW = 6, 16
+STAR_ROUNDS, PAIRS_PER_ROW = 2, 16
 #: Centres of a bucket from the second round on. A round that links less than this share of its pairs is the last.
-CENTRES, FRUITFUL = 8, 0.02
+CENTRES, FRUITFUL = 12, 0.02
 EARLIER = 8
 _PART = 1 << 22  # bytes of text split at a time
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -288,20 +288,26 @@ def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percent:
     return write_stage(rows.mapInArrow(run, "u bigint, v bigint"), f"{name}-links")
 
 
-def _apart(buckets: DataFrame, reps: DataFrame, components: DataFrame) -> DataFrame:
-    """Members (gram, node, size, pos, component) of buckets that still hold several components.
+def _crowded(buckets: DataFrame) -> DataFrame:
+    """Members (gram, node, size, pos) of buckets of three classes or more; two are settled by their star."""
+    many = buckets.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    inner = buckets.join(many, "gram").where("node > lo and node < hi").select("gram").distinct()
+    return write_stage(
+        buckets.join(inner, "gram", "left_semi").select("gram", "node", "size", "pos").distinct(), "ngram-crowded"
+    )
 
-    Buckets of two classes are settled by their star.
-    """
+
+def _apart(crowded: DataFrame, reps: DataFrame, components: DataFrame) -> DataFrame:
+    """Members (gram, node, size, pos, component) of buckets that still hold several components."""
     of_node = (
         reps.select("node", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
         .select("node", F.coalesce("component", "rep").alias("component"))
     )
-    crowded = buckets.groupBy("gram").agg(F.count_distinct("node").alias("m")).where("m > 2").select("gram")
-    members = buckets.join(crowded, "gram", "left_semi").select("gram", "node", "size", "pos").distinct().join(of_node, "node")
-    members = write_stage(members, "ngram-members")
-    mixed = members.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return write_stage(members.join(mixed.select("gram"), "gram", "left_semi"), "ngram-rest")
+    of_bucket = Window.partitionBy("gram")
+    members = crowded.join(of_node, "node").withColumns(
+        {"_lo": F.min("component").over(of_bucket), "_hi": F.max("component").over(of_bucket)}
+    )
+    return write_stage(members.where("_lo < _hi").drop("_lo", "_hi"), "ngram-rest")
 
 
 def _pairs_apart(members: DataFrame, percent: int) -> DataFrame:
@@ -384,9 +390,10 @@ def jaccard_components(
     links = _verify(docs, stars, reps, n, percent, "ngram-star")
     components = connected_components(links, "u", "v")
 
+    crowded = _crowded(buckets)
     checked, fruitful = stars, True
     for round_ in range(1, STAR_ROUNDS + 2):
-        members = _apart(buckets, reps, components)
+        members = _apart(crowded, reps, components)
         left = members.groupBy("gram", "component").agg(F.count("*").alias("s"))
         left = left.groupBy("gram").agg(F.sum("s").alias("m"), F.sum(F.col("s") * F.col("s")).alias("inside"))
         rows_left, pairs_left = left.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2)).first()
