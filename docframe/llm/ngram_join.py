@@ -58,10 +58,10 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class _WordHashes(dict):
-    """xxhash64 by word, emptied when it holds a million words."""
+    """xxhash64 by word, emptied when it holds 150,000 words: tens of MB for each worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -200,7 +200,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Data
                 node = _class_of(g)[0]
                 if node in seen:
                     continue
-                if len(seen) < 1_000_000:  # a repeated class is only repeated work
+                if len(seen) < 200_000:  # a repeated class is only repeated work
                     seen.add(node)
                 p = len(g) - int(_at_least(percent, len(g))) + 1
                 order = np.argsort(rank[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:p]
