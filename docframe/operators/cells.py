@@ -26,10 +26,12 @@ def rows(events: DataFrame) -> DataFrame:
 def _padding(side: str) -> Column:
     """Cell, then row, then half the gap (left and right) or 0; units other than points do not count; none below 0."""
     c = SIDES[side]
+
     def own(props: str, head: str) -> Column:
         unit = F.col(props)[f"{head}padf{c}"] if head == "cl" else F.coalesce(F.col(props)[f"{head}paddf{c}"], F.col(props)[f"{head}padf{c}"])
         value = F.col(props)[f"{head}pad{c}"] if head == "cl" else F.col(props)[f"{head}padd{c}"]
-        return F.when(unit.isNull() | (unit == 3), F.greatest(value, F.lit(0)) / 20.0)
+        return F.when(value.isNotNull() & (unit.isNull() | (unit == 3)), F.greatest(value, F.lit(0)) / 20.0)
+
     gap = F.greatest(F.coalesce(F.col("row_props")["trgaph"], F.lit(0)), F.lit(0)) / 20.0 if c in "lr" else F.lit(0.0)
     return F.coalesce(own("props", "cl"), own("row_props", "tr"), gap)
 
@@ -89,7 +91,7 @@ def cells(events: DataFrame) -> DataFrame:
         back, fore, level = F.col(props)[f"{h}cbpat"], F.col(props)[f"{h}cfpat"], F.col(props)[f"{h}shdng"]
         index = lambda c: F.when(c > 0, c)
         some = back.isNotNull() | fore.isNotNull() | level.isNotNull()
-        return F.when(some, F.struct(index(back).alias("background"), index(fore).alias("foreground"), F.least(F.greatest(level, F.lit(0)), F.lit(10000)).alias("intensity")))
+        return F.when(some, F.struct(index(back).alias("background"), index(fore).alias("foreground"), F.when(level.isNotNull(), F.least(F.greatest(level, F.lit(0)), F.lit(10000))).alias("intensity")))
 
     valign = F.when(prop("clvertalc").isNotNull(), "center").when(prop("clvertalb").isNotNull(), "bottom").otherwise("top")
     return head.join(content, ["doc_id", "block", "island"], "left").select(

@@ -62,20 +62,22 @@ def break_lines(paragraphs: DataFrame, width: float, text: str = "text", advance
 def paginate(lines: DataFrame, height: float, order: list[str], line_height: str = "height", before: str = "before") -> DataFrame:
     """(doc_id, page, y, ... ) of lines packed in order: a line that does not fit opens a page, where space before
     it does not count. A fold by document; documents are independent."""
-    schema = lines.schema.simpleString()[7:-1]
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        page, y, started, pages, ys = 0, 0.0, False, [], []
-        for h, b in zip(pdf[line_height], pdf[before]):
-            if started and y + b + h > height + EPSILON:
-                page, y, started = page + 1, 0.0, False
-            y += b if started or page == 0 else 0.0
-            pages.append(page)
-            ys.append(y)
-            y, started = y + h, True
-        return pdf.assign(page=pages, y=ys)
-
     fields = ",".join(f"{n} {t}" for n, t in lines.dtypes)
-    assert schema
-    return lines.groupBy("doc_id").applyInPandas(pack, f"{fields}, page int, y double")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, page, y, started = None, 0, 0.0, False
+        for pdf in batches:
+            pages, ys = [], []
+            for d, h, b in zip(pdf["doc_id"], pdf[line_height], pdf[before]):
+                if d != doc:
+                    doc, page, y, started = d, 0, 0.0, False
+                if started and y + b + h > height + EPSILON:
+                    page, y, started = page + 1, 0.0, False
+                y += b if started or page == 0 else 0.0
+                pages.append(page)
+                ys.append(y)
+                y, started = y + h, True
+            yield pdf.assign(page=pages, y=ys)
+
+    dealt = lines.repartition("doc_id").sortWithinPartitions("doc_id", *order)
+    return dealt.mapInPandas(pack, f"{fields}, page int, y double")
