@@ -31,11 +31,12 @@ _WHITE = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, case folded (upper, then lower), runs of white space as one blank, none at the ends."""
+    """NFKC, case folded (upper, then lower; sharp s as ss), runs of white space as one blank, none at the ends."""
     nfkc = F.java_method(
         F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True)
     )
-    return F.btrim(F.regexp_replace(F.lower(F.upper(nfkc)), _WHITE, " "))
+    folded = F.replace(F.lower(F.upper(nfkc)), F.lit("ß"), F.lit("ss"))
+    return F.btrim(F.regexp_replace(folded, _WHITE, " "))
 
 
 def wide_hash(canon: Column) -> list[Column]:

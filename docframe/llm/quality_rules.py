@@ -149,19 +149,19 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: LineRules = Li
         "retention",
         F.when(F.col("word_chars") > 0, kept_chars / F.col("word_chars")).otherwise(F.lit(0.0)),
     )
-    return df.withColumn(
-        "kept", ~F.col("base_failed") & (F.col("retention") >= rules.min_retention)
-    ).drop("_all_lines", "_good")
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("retention") >= rules.min_retention)).drop("_all_lines", "_good")
+    # The optimizer moves a filter on a result below the steps it is made of and writes each step out again wherever
+    # it is used; it does not move one below the generator that its column comes from.
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_lines", "n_bad_lines", "retention", "kept"]
+    rest = [c for c in df.columns if c not in made]
+    return df.select(*rest, F.explode(F.array(F.struct(*made))).alias("_made")).select(*rest, "_made.*")
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The rows that the rules keep, with the input's columns.
-
-    The optimizer would move a filter on ``kept`` below the steps that it is made of and write each of them out again
-    wherever it is used; it does not move a filter below the generator that its column comes from.
-    """
-    judged = apply_quality_rules(df, text, rules)
-    return judged.select(*df.columns, F.explode(F.array("kept")).alias("_kept")).where("_kept").select(*df.columns)
+    """The rows that the rules keep, with the input's columns."""
+    return df.select(*df.columns, F.struct(*df.columns).alias("_input")).transform(
+        lambda d: apply_quality_rules(d, text, rules)
+    ).where("kept").select("_input.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
