@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docframe.operators import cells as C
 from docframe.operators import layout as Y
 from docframe.operators import lists as L
+from docframe.operators import pictures as P
 from docframe.runtime import ensure_importable, table
 from docframe.sources import rtf as R
 from docframe.sources.encode import rtf_document, rtf_escape
@@ -231,12 +232,28 @@ def q21_line_wrapping(spark, d):
     return Y.break_lines(p, 450.0).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sum(F.size("lines")).alias("n_lines"))
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size * 10.0 / 20 ELSE 16 * 72.0 / 96 END * 50 / 100 AS width, 12 * 72.0 / 96 AS height, 16 AS pixel_width, 12 AS pixel_height FROM part")
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size * 10.0 / 20 * 50 / 100 WHEN p_size % 3 = 1 THEN p_size * 72.0 / 96 * 50 / 100 ELSE 16 * 72.0 / 96 END AS width, 12 * 72.0 / 96 AS height, 16 AS pixel_width, 12 AS pixel_height FROM part")
 def q22_image_size(spark, d):
     p = table(spark, d, "part")
     png = "89504e470d0a1a0a0000000d49484452000000100000000c08020000"
-    body = F.concat(F.lit("{\\pict\\pngblip\\picscalex50"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\\picwgoal"), (F.col("p_size") * 10).cast("string"))).otherwise(""), F.lit(" " + png + "}\\par"))
-    return R.images(_events(p, "p_partkey", body, {"image"})).select(F.col("doc_id").cast("bigint").alias("p_partkey"), "width", "height", "pixel_width", "pixel_height")
+    size = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("\\picwgoal"), (F.col("p_size") * 10).cast("string"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("\\picw"), F.col("p_size").cast("string"))).otherwise("")
+    body = F.concat(F.lit("{\\pict\\pngblip\\picscalex50"), size, F.lit(" " + png + "}\\par"))
+    i = P.with_display_size(P.with_pixels(R.images(_events(p, "p_partkey", body, {"image"}))))
+    return i.select(F.col("doc_id").cast("bigint").alias("p_partkey"), F.col("display_width").alias("width"), F.col("display_height").alias("height"), "pixel_width", "pixel_height")
+
+
+def _bitmap(red: Column, green: Column) -> Column:
+    """Hex of a WMF with one blit of two pixels: (red, green, 7) and black."""
+    dib = "28000000" + "02000000" + "01000000" + "0100" + "1800" + "00" * 24
+    return F.concat(F.lit("00" * 18 + "26000000" + "430f" + "00" * 22 + dib + "07"), F.format_string("%02x%02x", green, red), F.lit("00" * 5))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 2 AS pixel_width, 1 AS pixel_height, printf('%02x%02x07ff000000ff', CAST(p_partkey % 256 AS INTEGER), CAST(p_size AS INTEGER)) AS rgba FROM part")
+def q23_metafile_bitmap(spark, d):
+    p = table(spark, d, "part")
+    body = F.concat(F.lit("{\\pict\\wmetafile8 "), _bitmap((F.col("p_partkey") % 256).cast("int"), F.col("p_size").cast("int")), F.lit("}\\par"))
+    i = P.with_pixels(R.images(_events(p, "p_partkey", body, {"image"})))
+    return i.select(F.col("doc_id").cast("bigint").alias("p_partkey"), "pixel_width", "pixel_height", F.lower(F.hex("raster")).alias("rgba"))
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(ceil(CAST(612 + p_size AS DOUBLE) * 150 / 72 - 1e-9) AS BIGINT) AS pixels FROM part")
@@ -273,3 +290,66 @@ def q28_unresolved_lists(spark, d):
 def q30_labels(spark, d):
     p = R.paragraphs(_text_events(spark, d, {"para"})).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n"))
     return p.join(table(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_paragraphs"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def q03_code_page_bytes(spark, d):
+    t = table(spark, d, "documents").withColumn("b", rtf_escape("text", "cp1252"))
+    return _whole(_events(t, "doc_id", F.concat("b", F.lit("\\par")), {"para", "run"})).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'parse' AS stage, CASE WHEN p_size % 2 = 0 THEN 'approximated-metafile-bitmap' ELSE 'unsupported-vector-image' END AS code FROM part
+UNION ALL SELECT CAST(p_partkey AS BIGINT), 'resources', 'unsupported-image-format' FROM part WHERE p_size % 2 <> 0""")
+def q27_picture_diagnostics(spark, d):
+    p = table(spark, d, "part")
+    data = F.when(F.col("p_size") % 2 == 0, _bitmap(F.lit(1), F.col("p_size").cast("int"))).otherwise("00" * 24)
+    i = P.with_pixels(R.images(_events(p, "p_partkey", F.concat(F.lit("{\\pict\\wmetafile8 "), data, F.lit("}\\par")), {"image"})))
+    return P.picture_diagnostics(i).select(F.col("doc_id").cast("bigint").alias("p_partkey"), "stage", "code")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name AS text, CASE c_custkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN (450 - length(c_name) * 5) / 2.0 ELSE 450 - length(c_name) * 5.0 END AS x FROM customer")
+def q31_alignment(spark, d):
+    c = table(spark, d, "customer")
+    align = F.when(F.col("c_custkey") % 3 == 0, "\\ql ").when(F.col("c_custkey") % 3 == 1, "\\qc ").otherwise("\\qr ")
+    e = _events(c, "c_custkey", F.concat(F.lit("\\pard"), align, "c_name", F.lit("\\par")), {"para", "run"})
+    p = R.paragraph_texts(e).join(R.paragraphs(e).select("doc_id", "para_seq", "align", "left_indent", "right_indent", "first_line_indent"), ["doc_id", "para_seq"])
+    return Y.fragments(Y.lay_lines(p, 450.0), ["doc_id"]).select(F.col("doc_id").cast("bigint").alias("c_custkey"), "text", "x")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(k AS INTEGER) AS image_seq, CASE WHEN k >= 2 THEN 'pixel-budget' END AS refused FROM part, range(3) t(k) WHERE k <= p_size % 3")
+def q32_image_admission(spark, d):
+    p = table(spark, d, "part")
+    png = "89504e470d0a1a0a0000000d49484452" + f"{5000:08x}{3000:08x}" + "08020000"
+    body = F.concat(F.expr(f"repeat('{{\\\\pict\\\\pngblip {png}}}', cast(p_size % 3 + 1 as int))"), F.lit("\\par"))
+    i = P.admission(P.with_pixels(R.images(_events(p, "p_partkey", body, {"image"}))))
+    return i.select(F.col("doc_id").cast("bigint").alias("p_partkey"), "image_seq", "refused")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(page AS INTEGER) AS page, 36.0 * page AS cut_from, 12.0 * least(3 * page + 3, p_size) AS cut_to, 3 * page + 3 >= p_size AS closing FROM part, range(100) t(page) WHERE 3 * page < p_size")
+def q33_split_rows(spark, d):
+    p = table(spark, d, "part")
+    rows = p.select(
+        F.col("p_partkey").alias("doc_id"), F.lit(0).alias("block"), (F.col("p_size") * 12.0).alias("height"),
+        F.transform(F.sequence(F.lit(1), F.col("p_size").cast("int")), lambda k: k * 12.0).alias("stops"),
+    )
+    return Y.split_rows(rows, 40.0, ["block"]).select(F.col("doc_id").cast("bigint").alias("p_partkey"), "page", "cut_from", "cut_to", "closing")
+
+
+@query("SELECT op, CAST(layer AS INTEGER) AS layer, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'fill' AS op, 0 AS layer, 1 AS n FROM supplier UNION ALL SELECT 'fill', 1, 2 FROM supplier UNION ALL SELECT 'fill', 2, 1 FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'text', 2, 1 FROM supplier UNION ALL SELECT 'stroke', 2, 1 FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY 1, 2")
+def q29_display_list(spark, d):
+    s = table(spark, d, "supplier")
+    texts = s.select(
+        F.col("s_suppkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("line"), F.lit(0).alias("piece"), F.col("s_name").alias("text"),
+        F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(50.0).alias("width"), F.lit(10.0).alias("height"), F.lit(8.0).alias("baseline"),
+        F.lit(12.0).alias("font_size"), F.lit("#000000").alias("color"), F.when(F.col("s_acctbal") > 0, "#ffff00").alias("highlight"),
+        (F.col("s_suppkey") % 2 == 0).alias("underline"), F.lit(False).alias("strike"),
+    )
+    side = F.struct(F.lit(0.5).alias("width"), F.lit("#000000").alias("color"))
+    none = F.lit(None).cast("struct<width:double,color:string>")
+    boxes = s.select(
+        F.col("s_suppkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(50.0).alias("width"), F.lit(10.0).alias("height"),
+        F.lit("#eeeeee").alias("fill"), F.struct(side.alias("top"), none.alias("left"), none.alias("bottom"), none.alias("right")).alias("borders"),
+        F.lit(False).alias("opened"), F.lit(True).alias("closing"),
+    )
+    pages = boxes.select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    return Y.display_list(texts, Y.rules(boxes, ["doc_id", "page"]), pages).groupBy("op", "layer").agg(F.count("*").alias("n"))

@@ -7,8 +7,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def escape(text: str) -> str:
-    """Public rules only: braces and backslashes escaped, lines end in a paragraph, other characters as numbers."""
+def escape(text: str, codepage: str | None = None) -> str:
+    """Public rules only: braces and backslashes escaped, lines end in a paragraph, other characters as bytes of the
+    code page where it has them, else as numbers."""
     out = []
     for c in text:
         if c in "\\{}":
@@ -19,6 +20,8 @@ def escape(text: str) -> str:
             out.append("\\tab ")
         elif " " <= c < "\x7f":
             out.append(c)
+        elif codepage and (raw := c.encode(codepage, "ignore")):
+            out.append("".join(f"\\'{b:02x}" for b in raw))
         else:
             units = c.encode("utf-16-le")
             for k in range(0, len(units), 2):
@@ -27,12 +30,12 @@ def escape(text: str) -> str:
     return "".join(out)
 
 
-def rtf_escape(text: str) -> Column:
+def rtf_escape(text: str, codepage: str | None = None) -> Column:
     """``escape`` of a column, given by name."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: escape(t or ""))
+        return s.map(lambda t: escape(t or "", codepage))
 
     return run(F.col(text))
 

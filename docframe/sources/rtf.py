@@ -162,15 +162,15 @@ def diagnostics(events: DataFrame) -> DataFrame:
 
 
 def images(events: DataFrame) -> DataFrame:
-    """Pictures with their display size: authored twips, else pixels at 96 for each inch; scaled in per cent."""
-    data = F.col("data")
-    pixel = lambda at: F.conv(F.hex(F.substring(data, at, 4)), 16, 10).cast("int")
-    natural = lambda at, word: F.when(F.col("text") == "png", pixel(at)).otherwise(prop(word).cast("int"))
+    """Pictures as authored: width and height in points are the goal in twips, else (PNG and JPEG, no goal given) the
+    declared pixels at 96 for each inch, scaled in per cent; null where neither is positive."""
+    raster = F.col("text").isin("png", "jpeg")
     side = lambda goal, px, scale: (
-        F.coalesce(F.when(prop(goal) > 0, prop(goal) / 20.0), px * 72.0 / 96.0) * F.coalesce(prop(scale), F.lit(100)) / 100.0
-    )
-    w, h = natural(17, "picw"), natural(21, "pich")
+        F.when(prop(goal).isNotNull(), F.when(prop(goal) > 0, prop(goal) / 20.0))
+        .otherwise(F.when(raster & (prop(px) > 0), prop(px) * 72.0 / 96.0))
+        * F.greatest(F.coalesce(prop(scale), F.lit(100)), F.lit(0)) / 100.0
+    )
     return events.where("etype = 'image'").select(
-        "doc_id", F.col("image").alias("image_id"), F.col("text").alias("format"), "data", w.alias("pixel_width"), h.alias("pixel_height"),
-        side("picwgoal", w, "picscalex").alias("width"), side("pichgoal", h, "picscaley").alias("height"),
+        "doc_id", F.col("item").alias("image_seq"), F.col("image").alias("image_id"), F.col("text").alias("format"), "data",
+        side("picwgoal", "picw", "picscalex").alias("width"), side("pichgoal", "pich", "picscaley").alias("height"),
     )

@@ -389,15 +389,15 @@ class Scanner:
         data = bytes(p["data"]) + bytes.fromhex(p["hex"].decode())
         fmt = p["format"]
         right = {"png": data[:8] == b"\x89PNG\r\n\x1a\n", "jpeg": data[:2] == b"\xff\xd8" and data[-2:] == b"\xff\xd9"}
+        if self.images >= MAX_IMAGES:
+            raise ScanError("ImageLimit", self.at)
         if fmt is None:
-            return self.diagnose("unsupported-image-format")
+            self.diagnose("unsupported-image-format")
         if not right.get(fmt, True):
-            return self.diagnose("image-signature-mismatch")
-        self.images += 1
-        if self.images > MAX_IMAGES:
-            raise ScanError("ImageLimit", self.at)
+            self.diagnose("image-signature-mismatch")
         name = f"image-{self.images}"
-        self.emit("image", image=name, text=fmt, data=data, props=p["props"])
+        self.emit("image", image=name, item=self.images, text=fmt or "unknown", data=data, props=p["props"])
+        self.images += 1
         self.runs.append(("image", name, p["style"]))
 
     # ---- controls
