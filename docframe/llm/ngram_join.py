@@ -253,13 +253,17 @@ def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percent:
     )
     keyed = write_stage(keyed, f"{name}-pairs")
     partners = keyed.groupBy("u").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / GROUP).cast("int"))
+    partners = write_stage(partners, f"{name}-partners")
     firsts = partners.select(
         F.col("u").alias("doc_id"), F.col("u").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         F.lit(0).alias("side"),
     )
-    seconds = keyed.join(partners, "u").select(
+    # Only classes with more partners than one group holds are joined: one for each GROUP pairs at most.
+    heavy = partners.where("salts > 1").select("u", "salts")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy
+    seconds = keyed.join(heavy, "u", "left").select(
         F.col("v").alias("doc_id"), F.col("u").alias("key"),
-        F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"),
+        F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("side"),
     )
     tasks = write_stage(firsts.unionByName(seconds), f"{name}-tasks")
     wanted = F.broadcast(tasks) if tasks.count() <= BROADCAST_ROWS else tasks
