@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.sources.rtf import paragraph_texts, prop
+from docframe.sources.rtf import paragraph_texts, prop, runs
 
 #: Border widths in points.
 HAIR, DEFAULT_WIDTH, MIN_WIDTH, MAX_WIDTH = 0.25, 0.5, 0.25, 12.0
@@ -47,12 +47,8 @@ def _border(props: str, name: str) -> Column:
     return F.when(p[name].isNotNull(), F.struct(width.alias("width"), color.alias("color"), style.alias("style")))
 
 
-def cells(events: DataFrame) -> DataFrame:
-    """Resolved cells (doc_id, block, cell_idx, right, padding, borders, vertical_align, shading, text).
-
-    A boundary that is not beyond the last accepted one is dropped and its content joins the cell to its left;
-    continuation cells of a horizontal merge join theirs.
-    """
+def _boundaries(events: DataFrame) -> DataFrame:
+    """Cell definitions with ``ok`` (the boundary is accepted), ``bare`` (it continues a merge) and ``island``."""
     d = events.where("etype = 'celldef'").select("doc_id", "block", F.col("cell").alias("i"), "props").join(rows(events), ["doc_id", "block"])
     right = prop("cellx") / 20.0
     order = Window.partitionBy("doc_id", "block").orderBy("i")
@@ -63,16 +59,36 @@ def cells(events: DataFrame) -> DataFrame:
     first_ok = F.col("ok") & (F.sum(F.col("ok").cast("int")).over(upto) == 1)
     begins = F.col("ok") & (prop("clmrg").isNull() | first_ok)
     d = d.withColumn("bare", F.col("ok") & ~begins)
-    d = d.withColumn("island", F.greatest(F.lit(1), F.sum(begins.cast("int")).over(upto)))
-    texts = paragraph_texts(events).where("cell is not null")
+    return d.withColumn("island", F.greatest(F.lit(1), F.sum(begins.cast("int")).over(upto)))
+
+
+def cell_paragraphs(events: DataFrame) -> DataFrame:
+    """(doc_id, block, para_seq, island, text): the paragraphs of resolved cells; islands of a row count from 1.
+
+    Contents beyond the last definition join it; paragraphs without any run in a continuation cell are left out.
+    """
+    d = _boundaries(events)
+    key = ["doc_id", "block", "cell", "para_in_cell"]
+    filled = runs(events).where("cell is not null").select(*key).distinct().withColumn("_filled", F.lit(True))
+    texts = paragraph_texts(events).where("cell is not null").join(filled, key, "left")
     last = d.groupBy("doc_id", "block").agg(F.max("i").alias("_last"))
     place = d.select("doc_id", "block", "i", "island", "bare")
-    content = (
+    return (
         texts.join(last, ["doc_id", "block"]).withColumn("i", F.least("cell", "_last")).join(place, ["doc_id", "block", "i"])
-        .where(~F.col("bare") | (F.col("text") != ""))
-        .groupBy("doc_id", "block", "island")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+        .where(~F.col("bare") | F.col("_filled")).select("doc_id", "block", "para_seq", "island", "text")
     )
+
+
+def cells(events: DataFrame) -> DataFrame:
+    """Resolved cells (doc_id, block, cell_idx, island, right, padding, borders, vertical_align, shading, text).
+
+    A boundary that is not beyond the last accepted one is dropped and its content joins the cell to its left;
+    continuation cells of a horizontal merge join theirs.
+    """
+    d = _boundaries(events)
+    content = cell_paragraphs(events).groupBy("doc_id", "block", "island").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_seq", "text"))), lambda x: x["text"]), "\n").alias("text")
+    )
     head = d.where("ok").groupBy("doc_id", "block", "island").agg(
         F.max_by("right", "i").alias("right"), F.min_by("props", "i").alias("props"), F.max_by("props", "i").alias("last_props"),
         F.first("row_props").alias("row_props"), F.first("left").alias("row_left"),
@@ -95,7 +111,7 @@ def cells(events: DataFrame) -> DataFrame:
 
     valign = F.when(prop("clvertalc").isNotNull(), "center").when(prop("clvertalb").isNotNull(), "bottom").otherwise("top")
     return head.join(content, ["doc_id", "block", "island"], "left").select(
-        "doc_id", "block", (F.row_number().over(ends.orderBy("island")) - 1).alias("cell_idx"), "right",
+        "doc_id", "block", (F.row_number().over(ends.orderBy("island")) - 1).alias("cell_idx"), "island", "right",
         F.struct(*[_padding(s).alias(s) for s in SIDES]).alias("padding"), borders.alias("borders"), valign.alias("vertical_align"),
         F.coalesce(shading("props", "cl"), shading("row_props", "tr")).alias("shading"), F.coalesce("text", F.lit("")).alias("text"),
     )

@@ -195,6 +195,21 @@ def fragments(laid: DataFrame, keys: list[str]) -> DataFrame:
     return line.select(*keys, "line", F.inline(placed))
 
 
+def cut_row(tall: float, stops: list[float], y: float, empty: bool, height: float) -> Iterator[tuple[bool, float, float, bool]]:
+    """Parts of a row on pages of ``height``, begun at ``y``: (on a new page, from, to, closing)."""
+    done, turn = 0.0, False
+    while tall - done > height - y + EPSILON:
+        ahead = [s for s in stops if s > done + EPSILON]
+        fits = [s for s in ahead if s - done <= height - y + EPSILON]
+        if not fits and not empty:
+            turn, y, empty = True, 0.0, True
+            continue
+        to = max(fits) if fits else min(ahead) if ahead else min(tall, max(done, done + height - y))
+        yield turn, done, to, False
+        done, turn, y, empty = to, True, 0.0, True
+    yield turn, done, tall, True
+
+
 def split_rows(blocks: DataFrame, height: float, order: list[str], stops: str = "stops") -> DataFrame:
     """Pages of blocks that may be cut: adds page, y, cut_from, cut_to and closing, one row for each part.
 
@@ -203,20 +218,6 @@ def split_rows(blocks: DataFrame, height: float, order: list[str], stops: str =
     """
     fields = ",".join(f"{n} {t}" for n, t in blocks.dtypes)
 
-    def parts(tall: float, bottoms: list[float], y: float, empty: bool) -> Iterator[tuple[bool, float, float, bool]]:
-        """(on a new page, from, to, closing)."""
-        done, turn = 0.0, False
-        while tall - done > height - y + EPSILON:
-            ahead = [s for s in bottoms if s > done + EPSILON]
-            fits = [s for s in ahead if s - done <= height - y + EPSILON]
-            if not fits and not empty:
-                turn, y, empty = True, 0.0, True
-                continue
-            to = max(fits) if fits else min(ahead) if ahead else min(tall, done + height - y)
-            yield turn, done, to, False
-            done, turn, y, empty = to, True, 0.0, True
-        yield turn, done, tall, True
-
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, page, y, empty = None, 0, 0.0, True
         for pdf in batches:
@@ -226,7 +227,7 @@ def split_rows(blocks: DataFrame, height: float, order: list[str], stops: str =
                     doc, page, y, empty = d, 0, 0.0, True
                 if not tall > 0:  # nothing to place
                     continue
-                for turn, start, to, closing in parts(tall, sorted(set([] if bottoms is None else bottoms)), y, empty):
+                for turn, start, to, closing in cut_row(tall, sorted(set([] if bottoms is None else bottoms)), y, empty, height):
                     if turn:
                         page, y = page + 1, 0.0
                     at.append(k)
@@ -277,7 +278,8 @@ def display_list(texts: DataFrame, rectangles: DataFrame, pages: DataFrame) -> D
     """(doc_id, page, layer, line, piece, step, op, x, y, width, height, color, text): what to paint, in that order.
 
     The page's white, then rectangles, then each piece of text: its highlight, its glyphs, its underline and its strike
-    as lines of a sixteenth of the font size, half a point at least.
+    as lines of a sixteenth of the font size, half a point at least. A piece with an ``image_id`` is painted as that
+    image alone, named in ``text``.
     """
     none = lambda t: F.lit(None).cast(t)
     white = pages.select(
@@ -294,11 +296,14 @@ def display_list(texts: DataFrame, rectangles: DataFrame, pages: DataFrame) -> D
         color.alias("color"), (none("string") if text is None else text).alias("text"),
     )
     base = F.col("baseline")
+    image = F.col("image_id") if "image_id" in texts.columns else none("string")
+    shown = image.isNotNull()
     steps = F.array(
-        F.when(F.col("highlight").isNotNull(), step(0, "fill", F.col("y"), F.col("height"), F.col("highlight"))),
-        step(1, "text", base, F.col("height"), F.col("color"), F.col("text")),
-        F.when(F.col("underline"), step(2, "stroke", base + F.col("font_size") * 0.12, stroke, F.col("color"))),
-        F.when(F.col("strike"), step(3, "stroke", base - F.col("font_size") * 0.3, stroke, F.col("color"))),
+        F.when(~shown & F.col("highlight").isNotNull(), step(0, "fill", F.col("y"), F.col("height"), F.col("highlight"))),
+        F.when(~shown, step(1, "text", base, F.col("height"), F.col("color"), F.col("text")))
+        .otherwise(step(1, "image", F.col("y"), F.col("height"), none("string"), image)),
+        F.when(~shown & F.col("underline"), step(2, "stroke", base + F.col("font_size") * 0.12, stroke, F.col("color"))),
+        F.when(~shown & F.col("strike"), step(3, "stroke", base - F.col("font_size") * 0.3, stroke, F.col("color"))),
     )
     inked = texts.select("doc_id", "page", F.lit(2).alias("layer"), "line", "piece", F.inline(F.array_compact(steps)))
     return white.unionByName(ruled).unionByName(inked)

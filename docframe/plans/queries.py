@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.operators import cells as C
+from docframe.operators import document as D
 from docframe.operators import layout as Y
 from docframe.operators import lists as L
 from docframe.operators import pictures as P
+from docframe.operators.fonts import FIXED, Face
 from docframe.runtime import ensure_importable, table
 from docframe.sources import rtf as R
 from docframe.sources.encode import rtf_document, rtf_escape
@@ -353,3 +355,23 @@ def q29_display_list(spark, d):
     )
     pages = boxes.select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
     return Y.display_list(texts, Y.rules(boxes, ["doc_id", "page"]), pages).groupBy("op", "layer").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(ceil((c_custkey % 17 + 1) / 4.0) AS BIGINT) AS n_pages, CAST(c_custkey % 17 + 1 AS BIGINT) AS n_lines, 20.0 + 10.0 * (c_custkey % 17 % 4) AS last_y FROM customer")
+def q34_document_pages(spark, d):
+    c = table(spark, d, "customer")
+    lines = F.expr("repeat('x\\\\par ', cast(c_custkey % 17 + 1 as int))")
+    e = _events(c, "c_custkey", F.concat(F.lit("\\paperw4000\\paperh1600\\margl400\\margr400\\margt400\\margb400 "), lines))
+    lines = D.lay_out(e, default=FIXED).lines
+    return lines.groupBy(F.col("doc_id").cast("bigint").alias("c_custkey")).agg(
+        (F.max("page") + 1).cast("bigint").alias("n_pages"), F.count("*").alias("n_lines"), F.max_by("y", F.struct("page", "line")).alias("last_y")
+    )
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, 72.0 + (s_suppkey % 20 + 11) * 0.9 AS baseline, 90.0 + 5 * length(s_name) AS x, (length(s_name) + 1) * 0.6 * (s_suppkey % 20 + 11) AS width FROM supplier")
+def q35_faces(spark, d):
+    s = table(spark, d, "supplier")
+    size = ((F.col("s_suppkey") % 20 + 11) * 2).cast("string")
+    body = F.concat(F.lit("{\\fonttbl{\\f0 Fixed;}{\\f1 Wide;}}\\paperw20000\\f0\\fs20 "), "s_name", F.lit("\\f1\\fs"), size, F.lit(" "), "s_name", F.lit("x\\par"))
+    laid = D.lay_out(_events(s, "s_suppkey", body), faces={"wide": Face(0.6, 0.9, 0.3)}, default=FIXED)
+    return laid.fragments.where("piece = 1").select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "baseline", "x", "width")
