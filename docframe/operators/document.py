@@ -268,9 +268,9 @@ def _tables(events: DataFrame, dims: DataFrame) -> DataFrame:
     x0 = F.col("page.marginLeft") + F.coalesce(shift, F.lit(0.0))
     before = F.when(F.col("cell_idx") == 0, F.col("row_left")).otherwise(F.get("_rights", F.col("cell_idx") - 1))
     hue = lambda c, other: F.coalesce(F.when(c.isNotNull(), F.col("colors")[c.cast("int")]), F.lit(other))
-    side = lambda s: F.when(F.col(f"borders.{s}").isNotNull(), F.struct(
-        F.when(F.col(f"borders.{s}.style") == "none", 0.0).otherwise(F.col(f"borders.{s}.width")).alias("width"), hue(F.col(f"borders.{s}.color"), "#000000").alias("color"),
-    )).alias(s)
+    side = lambda s: F.when(
+        F.col(f"borders.{s}.style") != "none", F.struct(F.col(f"borders.{s}.width").alias("width"), hue(F.col(f"borders.{s}.color"), "#000000").alias("color"))
+    ).alias(s)
     back = F.when(F.col("shading.background").isNotNull(), hue(F.col("shading.background"), "#ffffff"))
     fill = F.when(F.col("shading").isNotNull(), C.blend(back, hue(F.col("shading.foreground"), "#000000"), F.col("shading.intensity")))
     return got.select(
@@ -284,18 +284,7 @@ def broken_paragraphs(
 ) -> DataFrame:
     """Paragraphs with ``broken`` lines and their place (block, cell_idx, para_seq), without those of documents in error."""
     ensure_importable(events.sparkSession)
-    key = ["doc_id", "block", "_cell", "para_in_cell"]
-    at = F.coalesce("cell", F.lit(-1)).alias("_cell")
-    p, r = R.paragraphs(events), R.runs(events)
-    head = F.struct(*[c for c in p.columns if c not in ("doc_id", "block", "para_in_cell")])
-    seen = r.where("kind = 'image' or not coalesce(style.hidden, false)")
-    part = F.struct("run_seq", F.coalesce("text", F.lit("")).alias("text"), "style", "image_id")
-    none = lambda df, c: F.lit(None).cast(df.select(c.alias("c")).schema["c"].dataType)
-    both = p.select("doc_id", "block", at, "para_in_cell", head.alias("p"), none(r, part).alias("r")).unionByName(
-        seen.select("doc_id", "block", at, "para_in_cell", none(p, head).alias("p"), part.alias("r"))
-    )
-    whole = both.groupBy(*key).agg(F.max_by("p", F.when(F.col("p").isNotNull(), 1)).alias("p"), F.array_sort(F.collect_list("r"), lambda a, b: a["run_seq"] - b["run_seq"]).alias("r"))
-    whole = whole.where("p is not null").withColumn("para_seq", F.col("p.para_seq"))
+    whole = R.paragraph_runs(events, keep_hidden=False)
     numbered = L.markers(events).select("doc_id", "para_seq", "marker", "follow", F.struct("left_indent", "first_line_indent").alias("_own"))
     in_cells = C.cell_paragraphs(events).select("doc_id", "block", "para_seq", "island").join(
         tables.select("doc_id", "block", "island", "cell_idx", "width", "padding"), ["doc_id", "block", "island"]

@@ -14,7 +14,8 @@ from docframe.operators import layout as Y
 from docframe.operators import lists as L
 from docframe.operators import pictures as P
 from docframe.operators.fonts import FIXED, Face
-from docframe.runtime import ensure_importable, table
+from docframe.plans.model import document_model
+from docframe.runtime import ensure_importable, table, write_stage
 from docframe.sources import rtf as R
 from docframe.sources.encode import rtf_document, rtf_escape
 
@@ -375,3 +376,12 @@ def q35_faces(spark, d):
     body = F.concat(F.lit("{\\fonttbl{\\f0 Fixed;}{\\f1 Wide;}}\\paperw20000\\f0\\fs20 "), "s_name", F.lit("\\f1\\fs"), size, F.lit(" "), "s_name", F.lit("x\\par"))
     laid = D.lay_out(_events(s, "s_suppkey", body), faces={"wide": Face(0.6, 0.9, 0.3)}, default=FIXED)
     return laid.fragments.where("piece = 1").select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "baseline", "x", "width")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name AS text, CAST(2 AS INTEGER) AS n_blocks, s_suppkey % 2 = 0 AS bold FROM supplier")
+def q36_document_model(spark, d):
+    s = table(spark, d, "supplier")
+    body = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "\\b ").otherwise("\\b0 "), "s_name", F.lit("\\par\\page"))
+    m = document_model(write_stage(_events(s, "s_suppkey", body), "events"))
+    first = F.col("model.blocks")[0]["runs"][0]
+    return m.select(F.col("doc_id").cast("bigint").alias("s_suppkey"), first["text"].alias("text"), F.size("model.blocks").alias("n_blocks"), first["style"]["bold"].alias("bold"))

@@ -154,6 +154,28 @@ def paragraph_texts(events: DataFrame, keep_hidden: bool = True) -> DataFrame:
     )
 
 
+def paragraph_runs(events: DataFrame, keep_hidden: bool = True) -> DataFrame:
+    """(doc_id, block, para_in_cell, para_seq, p, r): each paragraph as a struct with the array of its runs in order.
+
+    Paragraphs and runs meet in one shuffle; the runs of a paragraph are bounded by the scan's limit on text.
+    """
+    p, r = paragraphs(events), runs(events)
+    if not keep_hidden:
+        r = r.where("kind = 'image' or not coalesce(style.hidden, false)")
+    at = F.coalesce("cell", F.lit(-1)).alias("_cell")
+    head = F.struct(*[c for c in p.columns if c not in ("doc_id", "block", "para_in_cell")])
+    part = F.struct("run_seq", F.coalesce("text", F.lit("")).alias("text"), "style", "image_id")
+    none = lambda df, c: F.lit(None).cast(df.select(c.alias("c")).schema["c"].dataType)
+    both = p.select("doc_id", "block", at, "para_in_cell", head.alias("p"), none(r, part).alias("r")).unionByName(
+        r.select("doc_id", "block", at, "para_in_cell", none(p, head).alias("p"), part.alias("r"))
+    )
+    whole = both.groupBy("doc_id", "block", "_cell", "para_in_cell").agg(
+        F.max_by("p", F.when(F.col("p").isNotNull(), 1)).alias("p"),
+        F.array_sort(F.collect_list("r"), lambda a, b: a["run_seq"] - b["run_seq"]).alias("r"),
+    )
+    return whole.where("p is not null").select("doc_id", "block", "para_in_cell", F.col("p.para_seq").alias("para_seq"), "p", "r")
+
+
 def diagnostics(events: DataFrame) -> DataFrame:
     return events.where("etype = 'diag'").select(
         "doc_id", F.col("seq").alias("diag_seq"), F.lit("parse").alias("stage"), F.col("text").alias("code"), "message",

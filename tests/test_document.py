@@ -117,6 +117,24 @@ def test_no_documents(spark):
     assert [getattr(got, n).count() for n in ("pages", "lines", "fragments", "rules", "display_list", "diagnostics", "errors")] == [0] * 7
 
 
+def test_document_model(spark):
+    from docframe.plans.model import model_json
+
+    row = r"\trowd\cellx2000\clmrg\cellx3000\cellx4000\intbl one\par two\cell\cell three\cell\row "
+    bodies = {"a": HEAD + r"x\b y\par\page " + row + r"\pard z{\pict\pngblip " + PNG + r"}\par}", "bad": "nope", "empty": r"{\rtf1}"}
+    events = R.parse(spark.createDataFrame([(k, bytearray(v.encode())) for k, v in bodies.items()], "doc_id string, content binary"))
+    got = {r["doc_id"]: json.loads(r["json"]) for r in model_json(events).collect()}
+    assert set(got) == {"a", "empty"} and got["empty"]["blocks"] == got["empty"]["images"] == []
+    m = got["a"]
+    assert [b["kind"] for b in m["blocks"]] == ["paragraph", "pageBreak", "row", "paragraph"]
+    assert [(r["text"], r["style"]["bold"], r["style"]["fontSize"]) for r in m["blocks"][0]["runs"]] == [("x", False, 10.0), ("y", True, 10.0)]
+    cells = m["blocks"][2]["cells"]
+    assert [c["right"] for c in cells] == [150.0, 200.0]
+    assert [["".join(r["text"] for r in b["runs"]) for b in c["blocks"]] for c in cells] == [["one", "two"], ["three"]]
+    assert [r["kind"] for r in m["blocks"][3]["runs"]] == ["text", "image"] and m["images"][0]["id"] == m["blocks"][3]["runs"][1]["imageId"]
+    assert [f["name"] for f in m["fonts"]] == ["Alpha", "Beta"] and m["page"]["width"] == 300.0 and m["schemaVersion"] == 2
+
+
 def test_fonts(spark):
     from pyspark.sql import functions as F
 
