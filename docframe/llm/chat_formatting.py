@@ -1,18 +1,22 @@
 """Chat formatting by quotation linking, on SQL functions only.
 
 1. *Parse.* A line's quote level is the number of leading ``>`` marks (blanks between them do not count). Runs of
-   lines of one level are passages; a message's own text is its lines of level 0, attribution lines ("... wrote:")
-   before a quote removed.
-2. *Hash.* Passages and messages are normalised (lower case, white space folded) and hashed; a message is known by
-   its own text as a whole and by each of its paragraphs and lines.
-3. *Link.* A message's quoted passages of level 1 are joined on (conversation, hash) to earlier messages; the text
-   itself is compared, too. The latest such message is the one replied to. A message without a quote that is found
+   lines of one level are passages; attribution lines ("... wrote:") before a deeper level are removed from each. A
+   message's own text is what is left of its lines of level 0.
+2. *Hash.* Texts are normalised (lower case, white space folded) to words. A quoted passage is known by the hash of
+   its words, and so are its paragraphs, lines and sentences, for quotes with something left out or added. A seed, the
+   hash of its first 1, 2 or 4 words, finds the places of earlier messages where it may begin.
+3. *Link.* Seeds are joined on (conversation, seed) to every word of the messages; for each length asked there, the
+   run of that many words is hashed and joined exactly. So any contiguous run of words is found, however its lines
+   are wrapped. Of what is found the lowest quote level counts, then the whole passage before its paragraphs and
+   those before its lines and sentences, then runs that begin and end with a line or sentence before others (parts of
+   a passage must do so); of these the latest message is the one replied to. A message without a quote that is found
    replies to nothing and starts a thread.
 4. *Order.* Threads follow from the links by pointer doubling (written each round); a conversation is ordered by the
    thread's first turn, then depth, then turn, so every reply stands after what it answers, without quotes.
 
-Joins are on conversation and hash, both pre-aggregated to the *latest turns first*, so a hot conversation is spread
-over its hashes; nothing is gathered by conversation. Texts take part in no shuffle but as hashes.
+Joins are on conversation and hash, so a hot conversation is spread over its hashes; nothing is gathered by
+conversation, and equal quotes ask once. Words are kept, by message, only of conversations with a quote.
 
 Defined results for odd input
 -----------------------------
@@ -30,6 +34,11 @@ from pyspark.sql import functions as F
 
 from docframe.runtime import write_stage
 
+#: Words of the seeds that find where a quote may begin.
+SEED_WORDS = (1, 2, 4)
+#: Where a line or a sentence ends.
+UNIT_END = "[\\n\\r\\x0B\\x0C]+|(?<=[.!?…][\"')\\]”’»]{0,2})[ \\t]+|(?<=[。！？])"
+
 
 def quote_level(line: Column) -> Column:
     """Number of quote marks a line begins with."""
@@ -66,7 +75,7 @@ def passages(text: Column) -> Column:
 
 
 def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_quotes`` (normalised passages of level 1), ``max_quote_level`` and ``reply_text``.
+    """Add ``_quotes`` (quoted passages as level and text), ``max_quote_level`` and ``reply_text``.
 
     A text without any ``>`` is its own reply and is not parsed.
     """
@@ -75,24 +84,22 @@ def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_runs", F.when(quoted, passages(t)))
     runs = F.col("_runs")
     own = F.filter(runs, lambda r: r["level"] == 0)
-    quotes_next = lambda i: F.coalesce(F.get(runs, i + 1)["level"] > 0, F.lit(False))
+    deeper_next = lambda r, i: F.coalesce(F.get(runs, i + 1)["level"] > r["level"], F.lit(False))
     trimmed = F.transform(
-        F.filter(
-            F.transform(runs, lambda r, i: F.struct(r["level"].alias("level"), F.when(quotes_next(i), _without_attribution(r["text"])).otherwise(r["text"]).alias("text"))),
-            lambda r: r["level"] == 0,
-        ),
-        lambda r: r["text"],
+        runs, lambda r, i: F.struct(r["level"].alias("level"), F.when(deeper_next(r, i), _without_attribution(r["text"])).otherwise(r["text"]).alias("text"))
     )
-    texts = F.transform(F.filter(runs, lambda r: r["level"] == 1), lambda r: normalised(r["text"]))
-    reply = F.when(quoted, F.btrim(F.array_join(trimmed, "\n"), F.lit(" \t\n\r"))).otherwise(t)
+    df = df.withColumn("_trimmed", trimmed)
+    own_texts = F.transform(F.filter("_trimmed", lambda r: r["level"] == 0), lambda r: r["text"])
+    quotes = F.filter("_trimmed", lambda r: (r["level"] > 0) & (F.length(normalised(r["text"])) > 0))
+    reply = F.when(quoted, F.btrim(F.array_join(own_texts, "\n"), F.lit(" \t\n\r"))).otherwise(t)
     return df.withColumns(
         {
-            "_quotes": F.when(quoted, F.array_distinct(F.filter(texts, lambda q: F.length(q) > 0))).otherwise(F.array().cast("array<string>")),
+            "_quotes": F.when(quoted, F.array_distinct(quotes)).otherwise(F.array().cast("array<struct<level:int,text:string>>")),
             "n_quotes": F.when(quoted, F.size(runs) - F.size(own)).otherwise(F.lit(0)).cast("long"),
             "max_quote_level": F.when(quoted, F.array_max(F.transform(runs, lambda r: r["level"]))).otherwise(F.lit(0)).cast("int"),
             "reply_text": reply,
         }
-    ).drop("_runs")
+    ).drop("_runs", "_trimmed")
 
 
 def _without_attribution(text: Column) -> Column:
@@ -100,34 +107,81 @@ def _without_attribution(text: Column) -> Column:
     return F.regexp_replace(text, "(?i)(?:^|\\n)[^\\n]{0,200}\\b(?:wrote|writes|schrieb|escribió|a écrit)[ ]?:[ \\t]*\\n?\\s*\\z", "")
 
 
-def known_passages(reply: Column) -> Column:
-    """What a message can be quoted by: the whole, its paragraphs and its lines, normalised, distinct."""
-    parts = F.concat(F.array(reply), F.split(reply, "\\n[ \\t]*\\n"), F.split(reply, "\\n"))
-    return F.array_distinct(F.filter(F.transform(parts, normalised), lambda p: F.length(p) > 0))
+def word_runs(text: Column) -> Column:
+    """array<struct<word string, first boolean>>: normalised words, and whether each begins a line or a sentence."""
+    units = F.filter(F.transform(F.split(text, UNIT_END), normalised), lambda u: F.length(u) > 0)
+    return F.flatten(
+        F.transform(units, lambda u: F.transform(F.split(u, " "), lambda w, i: F.struct(w.alias("word"), (i == 0).alias("first"))))
+    )
+
+
+def _seed(words: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(words, at + k)["word"] for k in range(size)])
+
+
+def _digest(words: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(words, lambda w: w["word"]), " "), 256)
+
+
+def quoted_pieces(quote: Column) -> Column:
+    """array<struct<level, grain, text>> of a quoted passage: itself (0), its paragraphs (1), lines and sentences (2)."""
+    text = quote["text"]
+    paragraphs = F.split(text, "\\n[ \\t]*\\n")
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(F.regexp_replace(p, "\\n", " "), UNIT_END)))
+    graded = lambda parts, g: F.transform(parts, lambda t: F.struct(quote["level"].alias("level"), F.lit(g).alias("grain"), t.alias("text")))
+    return F.concat(graded(F.array(text), 0), graded(paragraphs, 1), graded(F.split(text, "\\n"), 2), graded(sentences, 2))
 
 
 def link_replies(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conv, turn, reply_to): for each message with a quote that is found, the latest earlier turn it quotes."""
     parts = with_parts(df.select(conv, turn, text), text).where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
-    quotes = parts.select(conv, turn, F.explode("_quotes").alias("_q")).select(
-        conv, F.col(turn).alias("_by"), F.xxhash64("_q").alias("_h"), F.sha2("_q", 256).alias("_exact")
+    quotes = (
+        parts.select(conv, turn, F.explode("_quotes").alias("_q")).select(conv, turn, F.explode(quoted_pieces(F.col("_q"))).alias("_q"))
+        .select(conv, F.col(turn).alias("_at"), "_q.level", "_q.grain", word_runs(F.col("_q.text")).alias("_words"))
+    )
+    n, first = F.size("_words"), F.lit(0)
+    size = F.when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
+    seed = F.when(n >= 4, _seed(F.col("_words"), first, 4)).when(n >= 2, _seed(F.col("_words"), first, 2)).otherwise(_seed(F.col("_words"), first, 1))
+    quotes = quotes.where(n > 0).select(
+        conv, "_at", "level", "grain", n.alias("_n"), size.alias("_size"), seed.alias("_seed"), _digest(F.col("_words")).alias("_exact")
     )
     quotes = write_stage(quotes, "chat-quotes")  # only messages that quote: small beside the texts
-    asked = quotes.select(conv).distinct()
-    known = (
-        parts.join(asked, conv, "left_semi").select(conv, turn, F.explode(known_passages(F.col("reply_text"))).alias("_q"))
-        .select(conv, F.col(turn).alias("_of"), F.xxhash64("_q").alias("_h"), F.sha2("_q", 256).alias("_exact"))
+    known = write_stage(
+        parts.join(quotes.select(conv).distinct(), conv, "left_semi")
+        .select(conv, F.col(turn).alias("_of"), F.sha2("reply_text", 256).alias("_id"), "reply_text").dropDuplicates([conv, "_of", "_id"])
+        .select(conv, "_of", "_id", word_runs(F.col("reply_text")).alias("_words")),
+        "chat-known",
     )
+    words = F.col("_words")
+    seeds = F.flatten(
+        F.transform(
+            words,
+            lambda w, i: F.filter(
+                F.array(*[F.struct(i.alias("_start"), F.lit(k).alias("_size"), _seed(words, i, k).alias("_seed")) for k in SEED_WORDS]),
+                lambda x: x["_start"] + x["_size"] <= F.size(words),
+            ),
+        )
+    )
+    begun = known.select(conv, "_of", "_id", F.size(words).alias("_total"), F.explode(seeds).alias("_s")).select(conv, "_of", "_id", "_total", "_s.*")
+    asked = quotes.select(conv, "_size", "_seed", "_n").distinct()
+    hits = begun.join(asked, [conv, "_size", "_seed"]).where(F.col("_start") + F.col("_n") <= F.col("_total")).select(conv, "_of", "_id", "_start", "_n")
+    end = F.col("_start") + F.col("_n")
+    marked = hits.join(known, [conv, "_of", "_id"]).select(
+        conv, _digest(F.slice(words, F.col("_start") + 1, F.col("_n"))).alias("_exact"), "_of",
+        (F.get(words, F.col("_start"))["first"] & F.coalesce(F.get(words, end)["first"], F.lit(True))).alias("_whole"),
+    ).distinct()
     # One list of turns for each (conversation, passage) could be as long as the conversation: instead both sides are
     # ordered together, and a quote takes the last turn that stands before it.
-    marked = known.select(conv, "_h", "_exact", F.col("_of").alias("_at"), F.col("_of"), F.lit(1).alias("_kind")).distinct()
-    asks = quotes.select(conv, "_h", "_exact", F.col("_by").alias("_at"), F.lit(None).cast(df.schema[turn].dataType).alias("_of"), F.lit(0).alias("_kind"))
-    order = Window.partitionBy(conv, "_h", "_exact").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    found = (
-        marked.unionByName(asks).withColumn("_found", F.last("_of", ignorenulls=True).over(order))
-        .where("_kind = 0 and _found is not null")
-    )
-    return found.groupBy(conv, F.col("_at").alias(turn)).agg(F.max("_found").alias("reply_to"))
+    none = lambda c, of: F.lit(None).cast(of.schema[c].dataType).alias(c)
+    marked = marked.select(conv, "_exact", F.col("_of").alias("_at"), "_of", F.when(F.col("_whole"), F.col("_of")).alias("_sure"), none("level", quotes), none("grain", quotes), F.lit(1).alias("_kind"))
+    asks = quotes.select(conv, "_exact", "_at", none("_of", known), none("_of", known).alias("_sure"), "level", "grain", F.lit(0).alias("_kind"))
+    order = Window.partitionBy(conv, "_exact").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    found = marked.unionByName(asks).withColumns({c: F.last(c, ignorenulls=True).over(order) for c in ("_of", "_sure")}).where("_kind = 0")
+    rank = lambda loose, of: F.struct((-F.col("level")).alias("level"), (-F.col("grain")).alias("grain"), F.lit(-loose).alias("loose"), F.col(of).alias("of"))
+    best = F.when(F.col("_sure").isNotNull(), rank(0, "_sure")).when(F.col("_of").isNotNull() & (F.col("grain") == 0), rank(1, "_of"))
+    return found.groupBy(conv, F.col("_at").alias(turn)).agg(F.max(best).alias("_best")).where("_best is not null").select(
+        conv, turn, F.col("_best.of").alias("reply_to")
+    )
 
 
 def thread_links(links: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:

@@ -227,6 +227,53 @@ def test_conversations(spark):
     }
 
 
+def test_partial_quotes(spark):
+    note = "First line here.\nSecond line there\nThird line, yes. And a second sentence in it.\n\nNew paragraph one.\n\nLast paragraph two."
+    cases = {
+        "two of three lines": "> First line here.\n> Second line there\nok",
+        "two of three paragraphs": "> New paragraph one.\n>\n> Last paragraph two.\nok",
+        "a sentence of a line": "> And a second sentence in it.\nok",
+        "wrapped anew": "> Second line there Third\n> line, yes.\nok",
+        "first and third line": "> First line here.\n> [...]\n> Third line, yes. And a second sentence in it.\nok",
+        "half a sentence": "> second sentence\nok",
+        "chain with attribution": "> New paragraph one.\n>\n> On Mon, Ann wrote:\n>> gone\nMe too",
+        "deeper level": "> edited by hand\n>> Second line there\nok",
+        "not in it": "> First line there.\nok",
+        "not one run": "> Second line there\n> New paragraph\nok",
+        "part of a word": "> econd line ther\nok",
+    }
+    rows = [(k, 0, note) for k in range(len(cases))] + [(k, 1, t) for k, t in enumerate(cases.values())]
+    rows += [(99, 0, "Q one\nQ two"), (99, 1, "> Q one\nMy first.\nMy second\n> Q two\nMy third"), (99, 2, "> My second\n> My third\nblock of an interleaved reply")]
+    rows += [(98, 0, "Fine."), (98, 1, "It is all Fine. Really"), (98, 2, "so Fine. or"), (98, 3, "> fine.\nok"), (98, 3, "> fine.\nok"), (98, 2, "so Fine. or")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat_formatting.format_conversations(df).collect()}
+    told = {name: got[k, 1] for k, name in enumerate(cases)}
+    assert told == {name: None if name in ("not in it", "part of a word") else 0 for name in cases}
+    assert (got[99, 1], got[99, 2], got[98, 3]) == (0, 1, 0)
+
+
+def test_quotes_brute_force(spark):
+    rng, rows = random.Random(7), []
+    for conv in range(12):
+        said: list[list[str]] = []
+        for turn in range(14):
+            own = [rng.choice(["a", "b", "c", "d"]) for _ in range(rng.randrange(1, 9))]
+            quote: list[str] = []
+            if said and rng.random() < 0.7:
+                src = rng.choice(said)
+                a = rng.randrange(len(src))
+                quote = src[a : rng.randrange(a, len(src)) + 1]
+            rows.append((conv, turn, quote, own))
+            said.append(own)
+    text = lambda q, own: (f"> {' '.join(q)}\n" if q else "") + " ".join(own)
+    df = spark.createDataFrame([(c, t, text(q, own)) for c, t, q, own in rows], "conv_id bigint, turn bigint, text string")
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat_formatting.format_conversations(df).collect()}
+    for c, t, q, own in rows:
+        before = [(u, o) for d, u, _, o in rows if d == c and u < t]
+        runs = [(o == q, u) for u, o in before if q and any(o[k : k + len(q)] == q for k in range(len(o)))]
+        assert got[c, t] == (max(runs)[1] if runs else None)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
