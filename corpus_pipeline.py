@@ -16,8 +16,9 @@ from docframe.llm.quality_rules import keep_good
 from docframe.llm.text import held_out
 from docframe.runtime import write_stage
 
-#: A document goes if no language reaches this posterior.
-MIN_LANGUAGE_SCORE = 0.5
+#: A document goes if its n-grams are less than this share as likely, over chance, as those of its language's texts.
+#: The posterior would not do: summed over hundreds of n-grams it is 1.0 for any text.
+MIN_LANGUAGE_FIT = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; learned from the stage's own input."""
+    """Documents in a language that the model knows; learned from the stage's own input.
+
+    Where nothing can be learned, all documents with a letter stay.
+    """
     model = fit_language_model(docs, learnable=~held_out(F.col("doc_id")))
-    told = with_language(docs, model)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    if not model.learned:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    told = with_language(docs.withColumn("_row", F.struct(*docs.columns)), model, fit="_fit")
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("_fit") >= MIN_LANGUAGE_FIT)).select("_row.*")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,15 +108,24 @@ def _slices(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
 
 
 class LanguageModel:
-    """Log-probabilities by language; ``predict`` gives codes and posterior probabilities."""
+    """Log-probabilities by language; ``predict`` gives codes, posterior probabilities and fits.
 
-    def __init__(self, languages: list[str], logp: np.ndarray, prior: np.ndarray, max_n: int):
-        self.languages, self.logp, self.prior, self.max_n = languages, logp, prior, max_n
+    The fit does not grow with the text: it is the mean log-probability of its n-grams over that of an even spread,
+    as a share of the same mean (``typical``) of the texts that its language was learned from.
+    """
+
+    def __init__(self, languages: list[str], logp: np.ndarray, prior: np.ndarray, max_n: int, typical: np.ndarray):
+        self.languages, self.logp, self.prior, self.max_n, self.typical = languages, logp, prior, max_n, typical
+
+    @property
+    def learned(self) -> bool:
+        """Whether any language has an n-gram."""
+        return bool((self.typical > 0).any())
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         n = len(texts)
         if not self.languages:
-            return [UNKNOWN] * n, np.zeros(n)
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
         sums = np.zeros((n, len(self.languages)))
         letters = np.zeros(n, dtype=bool)
         grams = np.zeros(n)
@@ -127,11 +136,15 @@ class LanguageModel:
             for k in range(len(self.languages)):
                 np.add.at(sums[:, k], rows_at, np.bincount(owner, weights=self.logp[k][keys], minlength=len(parts)))
             np.add.at(grams, rows_at, np.bincount(owner, minlength=len(parts)))
+        plain = sums.copy()
         sums += self.prior
         best = sums.argmax(axis=1)
+        gain = plain[np.arange(n), best] / np.maximum(grams, 1) + np.log(self.logp.shape[1])
+        typical = self.typical[best]
+        fit = np.where(letters & (typical > 0), gain / np.where(typical > 0, typical, 1.0), 0.0)
         score = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
-        return names, np.where(letters, score, 0.0)
+        return names, np.where(letters, score, 0.0), fit
 
 
 def fit_language_model(
@@ -169,31 +182,33 @@ def fit_language_model(
     docs = got[got.bucket < 0].sort_values(["n", "lang"], ascending=[False, True])
     languages = sorted(docs.lang.head(MAX_LANGUAGES).tolist())
     logp = np.zeros((len(languages), buckets), dtype=np.float32)
-    prior = np.zeros(len(languages))
+    prior, typical = np.zeros(len(languages)), np.zeros(len(languages))
     for k, name in enumerate(languages):
         own = got[(got.lang == name) & (got.bucket >= 0)]
         c = np.full(buckets, SMOOTHING)
         c[own.bucket.to_numpy()] += own.n.to_numpy()
         logp[k] = np.log(c / c.sum())
         prior[k] = np.log(docs.n[docs.lang == name].iloc[0] / docs.n.sum())
-    return LanguageModel(languages, logp, prior, max_n)
+        if len(own):
+            typical[k] = np.average(logp[k][own.bucket.to_numpy()], weights=own.n.to_numpy()) + np.log(buckets)
+    return LanguageModel(languages, logp, prior, max_n, typical)
 
 
-def with_language(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Add lang_pred (string) and score (double) to every row."""
+def with_language(df: DataFrame, model: LanguageModel, text: str = "text", fit: str | None = None) -> DataFrame:
+    """Add lang_pred (string) and score (double) to every row, and the fit under the name given for it."""
     spark = df.sparkSession
     ensure_importable(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fit double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            names, score = shared.value.predict(s.tolist())
-            yield pd.DataFrame({"lang_pred": names, "score": score})
+            names, score, fits = shared.value.predict(s.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": score, "fit": fits})
 
     got = df.withColumn("_lang", run(F.col(text)))
-    keep = [c for c in df.columns if c not in ("lang_pred", "score")]
-    return got.select(*keep, F.col("_lang.lang_pred"), F.col("_lang.score"))
+    keep = [c for c in df.columns if c not in ("lang_pred", "score", fit)]
+    return got.select(*keep, F.col("_lang.lang_pred"), F.col("_lang.score"), *([F.col("_lang.fit").alias(fit)] if fit else []))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -274,6 +274,25 @@ def test_quotes_brute_force(spark):
         assert got[c, t] == (max(runs)[1] if runs else None)
 
 
+def test_language_stage_rejects_unknown_languages(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 9))) for _ in range(80))
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。", noise, "1234 5678",
+    ]
+    own = docs.select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(foreign)], "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
+    both = own.unionByName(more)
+    stayed = {r["doc_id"] for r in corpus_pipeline.language_id(spark, both, D).collect()}
+    assert stayed == {r["doc_id"] for r in own.collect()}
+    untold = {r["doc_id"] for r in corpus_pipeline.language_id(spark, both.withColumn("lang", F.lit(None).cast("string")), D).collect()}
+    assert untold == {r["doc_id"] for r in both.collect()} - {-5}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
