@@ -22,8 +22,8 @@ MIN_LANGUAGE_FIT = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, with their text as it was."""
-    return keep_good(docs)
+    """Documents that the line-first rules keep, without the lines that fail."""
+    return keep_good(docs, cleaned=True)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

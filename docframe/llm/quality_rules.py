@@ -157,11 +157,17 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: LineRules = Li
     return df.select(*rest, F.explode(F.array(F.struct(*made))).alias("_made")).select(*rest, "_made.*")
 
 
-def keep_good(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The rows that the rules keep, with the input's columns."""
-    return df.select(*df.columns, F.struct(*df.columns).alias("_input")).transform(
+def keep_good(df: DataFrame, text: str = "text", rules: LineRules = LineRules(), cleaned: bool = False) -> DataFrame:
+    """The rows that the rules keep, with the input's columns; if ``cleaned``, the text (and ``n_chars``) without failed lines."""
+    good = df.select(*df.columns, F.struct(*df.columns).alias("_input")).transform(
         lambda d: apply_quality_rules(d, text, rules)
-    ).where("kept").select("_input.*")
+    ).where("kept")
+    if not cleaned:
+        return good.select("_input.*")
+    new = {text: F.col("clean_text")}
+    if "n_chars" in df.columns:
+        new["n_chars"] = F.length("clean_text").cast(df.schema["n_chars"].dataType)
+    return good.select(*[new[c].alias(c) if c in new else F.col(f"_input.{c}") for c in df.columns])
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -274,6 +274,17 @@ def test_quotes_brute_force(spark):
         assert got[c, t] == (max(runs)[1] if runs else None)
 
 
+def test_quality_stage_removes_lines(spark):
+    import corpus_pipeline
+
+    prose = [" ".join(f"w{k}x{j}" for j in range(20)) + "." for k in range(4)]
+    text = "\n".join([prose[0], "Home | About | News | Contact", prose[1], "Please accept cookies to go on.", prose[2], prose[3]])
+    df = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "Home | About | News", "en", "s", 19)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = "\n".join(prose)
+    got = corpus_pipeline.quality_rules(spark, df, D)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, want, "en", "s", len(want))]
+
+
 def test_language_stage_rejects_unknown_languages(spark, docs):
     import corpus_pipeline
 
