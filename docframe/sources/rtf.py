@@ -30,33 +30,43 @@ _ARROW = pa.schema(
      ("image", pa.string()), ("data", pa.binary()), ("numbers", pa.list_(pa.int32())), ("style", _STYLE),
      ("props", pa.map_(pa.string(), pa.int64()))]
 )
+#: What the scan says of a document over the size limit.
+TOO_LARGE = [{"etype": "error", "text": "InputTooLarge", "props": {"offset": 0}}]
 #: Events sent in one Arrow batch.
 BATCH = 4096
 
 
+def _within_limit(files: DataFrame) -> DataFrame:
+    """(doc_id, content, too_large): the contents of files over the size limit are not read (pushed to the source)."""
+    fits = files.where(F.col("length") <= MAX_BYTES).select(F.col("path").alias("doc_id"), "content", F.lit(False).alias("too_large"))
+    rest = files.where(F.col("length") > MAX_BYTES)
+    return fits.unionByName(rest.select(F.col("path").alias("doc_id"), F.lit(None).cast("binary").alias("content"), F.lit(True).alias("too_large")))
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*.rtf") -> DataFrame:
-    """(doc_id, content) of a folder; files over the size limit are not read (pushed to the source)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.where(F.col("length") <= MAX_BYTES).select(F.col("path").alias("doc_id"), "content")
+    """(doc_id, content, too_large) of a folder; ``parse`` gives an error row to each file over the size limit."""
+    return _within_limit(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
 
 
 def read_stream(spark: SparkSession, path: str, glob: str = "*.rtf") -> DataFrame:
     """The same, as a stream of arriving files; parsing is per document, so no state is kept."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)
-    return files.where(F.col("length") <= MAX_BYTES).select(F.col("path").alias("doc_id"), "content")
+    return _within_limit(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path))
 
 
 def parse(docs: DataFrame, doc_id: str = "doc_id", content: str = "content", want: set[str] | None = None) -> DataFrame:
-    """Events of all documents. ``want`` names the event types to send from the workers; errors are always sent."""
+    """Events of all documents. ``want`` names the event types to send from the workers; errors are always sent.
+
+    Rows that a column ``too_large`` marks, as files over the size limit, have no content and give their error.
+    """
     ensure_importable(docs.sparkSession)
     keep = None if want is None else {*want, "error"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for seq, e in enumerate(scan(body.as_py())):
+            for key, body, large in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                for seq, e in enumerate(TOO_LARGE if large else scan(body.as_py())):
                     if keep is None or e["etype"] in keep:
                         p = e.get("props")
                         rows.append(e | {"doc_id": key, "seq": seq, "props": None if p is None else list(p.items())})
@@ -66,7 +76,8 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", content: str = "content", wan
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return docs.select(F.col(doc_id).cast("string"), F.col(content)).mapInArrow(run, EVENTS)
+    large = F.col("too_large") & F.col(content).isNull() if "too_large" in docs.columns else F.lit(False)
+    return docs.select(F.col(doc_id).cast("string"), F.col(content), large.alias("_large")).mapInArrow(run, EVENTS)
 
 
 def prop(name: str) -> Column:

@@ -70,3 +70,19 @@ def test_mutations_never_raise():
 def test_escape_round_trip():
     for text in ("a{b}\\c\td", "é中\U0001f600", "x" * 100):
         assert "".join(texts(b"{\\rtf1\\uc1 " + escape(text).encode() + b"\\par}")) == text
+
+
+def test_files_over_the_limit_give_an_error_row(spark, tmp_path):
+    from docframe.sources import rtf
+    from docframe.sources.scan import MAX_BYTES
+
+    (tmp_path / "small.rtf").write_bytes(rb"{\rtf1 A\par}")
+    with (tmp_path / "large.rtf").open("wb") as f:
+        f.truncate(MAX_BYTES + 1)
+    told = lambda df: {(r["doc_id"].rsplit("/", 1)[-1], r["error_code"], r["error_offset"]) for r in df.collect()}
+    want = {("small.rtf", None, None), ("large.rtf", "InputTooLarge", 0)}
+    assert told(rtf.documents(rtf.parse(rtf.read_files(spark, str(tmp_path))))) == want
+    events = rtf.parse(rtf.read_stream(spark, str(tmp_path)))
+    stream = rtf.documents(events).writeStream.format("memory").queryName("over_limit").trigger(availableNow=True).start()
+    assert stream.awaitTermination(60)
+    assert told(spark.table("over_limit")) == want
