@@ -3,8 +3,9 @@
 Texts are lower-cased; every run of letters becomes a word with a blank on either side; n-grams of 1 to
 ``max_n`` characters are hashed into ``buckets`` counters. Training counts come from a bounded sample of labelled
 rows (``max_training_docs``, chosen by a hash of the id, so alike at every size) through a Spark aggregation; the
-resulting matrix of log-probabilities, languages x buckets, has a fixed bound and is broadcast. Scoring gathers
-matrix rows by bucket and sums them by document in numpy, batch by batch: no shuffle, no dense document vectors.
+log-probabilities of every language found there, kept for the buckets that it fills, are bounded by that sample and
+broadcast. Scoring lays out one language after the other, gathers by bucket and sums by document in numpy, batch by
+batch: no shuffle, no dense document vectors.
 
 Defined results for odd input
 -----------------------------
@@ -33,8 +34,8 @@ MAX_N = 3
 MAX_TRAINING_DOCS = 20_000
 SLICE_CHARS = 1 << 19
 SMOOTHING = 0.5
-#: Languages the matrix can hold; the rarest beyond are not learned.
-MAX_LANGUAGES = 512
+#: Sums (texts x languages) that are held at a time.
+MAX_SUMS = 4_000_000
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
@@ -114,8 +115,16 @@ class LanguageModel:
     as a share of the same mean (``typical``) of the texts that its language was learned from.
     """
 
-    def __init__(self, languages: list[str], logp: np.ndarray, prior: np.ndarray, max_n: int, typical: np.ndarray):
-        self.languages, self.logp, self.prior, self.max_n, self.typical = languages, logp, prior, max_n, typical
+    def __init__(self, languages: list[str], filled: list[tuple[np.ndarray, np.ndarray]], empty: np.ndarray, prior: np.ndarray, max_n: int, typical: np.ndarray, buckets: int):
+        """``filled``: for each language its buckets and their log-probabilities; ``empty``: that of all its other buckets."""
+        self.languages, self.filled, self.empty, self.prior = languages, filled, empty, prior
+        self.max_n, self.typical, self.buckets = max_n, typical, buckets
+
+    def logp(self, k: int) -> np.ndarray:
+        row = np.full(self.buckets, self.empty[k], dtype=np.float32)
+        at, values = self.filled[k]
+        row[at] = values
+        return row
 
     @property
     def learned(self) -> bool:
@@ -126,20 +135,24 @@ class LanguageModel:
         n = len(texts)
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+        most = max(1, MAX_SUMS // len(self.languages))
+        if n > most:
+            parts = [self.predict(texts[a : a + most]) for a in range(0, n, most)]
+            return [x for p in parts for x in p[0]], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         sums = np.zeros((n, len(self.languages)))
         letters = np.zeros(n, dtype=bool)
         grams = np.zeros(n)
         for rows, parts in _slices([t or "" for t in texts]):
-            keys, owner, has = _grams(parts, self.logp.shape[1], self.max_n)
+            keys, owner, has = _grams(parts, self.buckets, self.max_n)
             rows_at = np.array(rows)
             np.logical_or.at(letters, rows_at, has)
             for k in range(len(self.languages)):
-                np.add.at(sums[:, k], rows_at, np.bincount(owner, weights=self.logp[k][keys], minlength=len(parts)))
+                np.add.at(sums[:, k], rows_at, np.bincount(owner, weights=self.logp(k)[keys], minlength=len(parts)))
             np.add.at(grams, rows_at, np.bincount(owner, minlength=len(parts)))
         plain = sums.copy()
         sums += self.prior
         best = sums.argmax(axis=1)
-        gain = plain[np.arange(n), best] / np.maximum(grams, 1) + np.log(self.logp.shape[1])
+        gain = plain[np.arange(n), best] / np.maximum(grams, 1) + np.log(self.buckets)
         typical = self.typical[best]
         fit = np.where(letters & (typical > 0), gain / np.where(typical > 0, typical, 1.0), 0.0)
         score = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
@@ -179,19 +192,21 @@ def fit_language_model(
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
     got = counts.toPandas()
-    docs = got[got.bucket < 0].sort_values(["n", "lang"], ascending=[False, True])
-    languages = sorted(docs.lang.head(MAX_LANGUAGES).tolist())
-    logp = np.zeros((len(languages), buckets), dtype=np.float32)
-    prior, typical = np.zeros(len(languages)), np.zeros(len(languages))
+    docs = got[got.bucket < 0].set_index("lang").n
+    own = {name: part for name, part in got[got.bucket >= 0].groupby("lang")}
+    languages = sorted(docs.index)
+    empty, prior, typical = np.zeros(len(languages), dtype=np.float32), np.zeros(len(languages)), np.zeros(len(languages))
+    filled = []
     for k, name in enumerate(languages):
-        own = got[(got.lang == name) & (got.bucket >= 0)]
-        c = np.full(buckets, SMOOTHING)
-        c[own.bucket.to_numpy()] += own.n.to_numpy()
-        logp[k] = np.log(c / c.sum())
-        prior[k] = np.log(docs.n[docs.lang == name].iloc[0] / docs.n.sum())
-        if len(own):
-            typical[k] = np.average(logp[k][own.bucket.to_numpy()], weights=own.n.to_numpy()) + np.log(buckets)
-    return LanguageModel(languages, logp, prior, max_n, typical)
+        at, c = (own[name].bucket.to_numpy(), own[name].n.to_numpy()) if name in own else (np.empty(0, np.int32), np.empty(0, np.int64))
+        total = c.sum() + SMOOTHING * buckets
+        values = np.log((c + SMOOTHING) / total).astype(np.float32)
+        filled.append((at, values))
+        empty[k] = np.log(SMOOTHING / total)
+        prior[k] = np.log(docs[name] / docs.sum())
+        if len(at):
+            typical[k] = np.average(values, weights=c) + np.log(buckets)
+    return LanguageModel(languages, filled, empty, prior, max_n, typical, buckets)
 
 
 def with_language(df: DataFrame, model: LanguageModel, text: str = "text", fit: str | None = None) -> DataFrame:

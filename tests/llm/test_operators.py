@@ -285,6 +285,15 @@ def test_quality_stage_removes_lines(spark):
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, want, "en", "s", len(want))]
 
 
+def test_many_languages_are_learned(spark):
+    rows = [(k, f"w{chr(0x4E00 + k)} {chr(0x4E00 + k) * 3} {chr(0x6000 + k)}", f"l{k:03d}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit_language_model(df)
+    assert len(model.languages) == 600
+    got = {r["lang"]: r["lang_pred"] for r in language_id.with_language(df, model).collect()}
+    assert all(k == v for k, v in got.items())
+
+
 def test_language_stage_rejects_unknown_languages(spark, docs):
     import corpus_pipeline
 
