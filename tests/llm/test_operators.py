@@ -321,3 +321,55 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, D).collect()} == kept
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, D).select("doc_id").distinct().collect()}
     assert packed and packed <= kept
+
+
+def test_pipeline_stages_brute_force(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    # English documents, copies of some with one new word, one with few words, one in letters never learned.
+    rng = random.Random(2)
+    base = [r["text"] for r in docs.where("lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    texts = base + [base[k].replace(" ", " extra ", 1) for k in range(0, 40, 4)] + ["too short"]
+    texts.append(" ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(5)) + "." for _ in range(60)))
+    rows = [(k, t, "en" if k < 40 else None, "s", len(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def bad(line):
+        n = len(line.split())
+        symbols, noise, bars = (len(re.findall(c, line)) for c in (r"[#*$%&|<>]", "!", "[|›•]"))
+        shout = len(line.strip()) >= 12 and any(c.isupper() for c in line) and not any(c.islower() for c in line)
+        phrase = n <= 20 and any(p in line.lower() for p in quality_rules.BOILERPLATE)
+        lists = n >= 60 and not re.search("[.!?:;…。]", line)
+        return bool(line.strip()) and (symbols > n / 4 or (noise >= 3 and noise > n / 2) or lists or bars >= 3 or shout or phrase)
+
+    good = {}
+    for k, t in enumerate(texts):
+        w, seen = t.split(), {}
+        for a in range(len(w) - 2):
+            seen.setdefault(tuple(w[a : a + 3]), []).append(a)
+        repeats = {a + j for at in seen.values() if len(at) > 1 for a in at for j in range(3)}
+        left = "\n".join(x for x in t.split("\n") if not bad(x))
+        size = lambda x: len("".join(x.split()))
+        if len(w) >= 50 and 2 * len(repeats) <= len(w) and 2 * size(left) >= size(t):
+            good[k] = left
+    told = {k: t for k, t in good.items() if not re.search("[а-я]", t)}
+    sets = {k: {tuple(w[a : a + 5]) for a in range(len(w) - 4)} for k, t in told.items() for w in [t.split()]}
+    top = {k: k for k in told}
+    find = lambda a: a if top[a] == a else find(top[a])
+    for a in told:
+        for b in told:
+            if b < a and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    alone = {k for k in told if find(k) == k}
+    d, state, got = str(tmp_path), df, []
+    for _, stage in corpus_pipeline.STAGES:
+        state = stage(spark, state, d).cache()
+        got.append({r["doc_id"]: r["text"] if "text" in state.columns else None for r in state.collect()})
+    assert got[0] == good and got[1] == told and set(got[2]) == alone and set(got[3]) == alone
+    assert len(good) > len(told) > len(alone) > 20
+    bpe = tokenizing.byte_bpe(tokenizing.public_path("byte_bpe_50k.json"))
+    sizes = {r["doc_id"]: r["n"] for r in state.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert sizes == {k: len(bpe.encode(told[k])) + 1 for k in alone}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).select("doc_id").collect()} == alone
