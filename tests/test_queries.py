@@ -1,5 +1,8 @@
+import re
+
 import duckdb
 import pytest
+import regex
 
 import __spark_entry__ as entry
 from docframe.plans.queries import QUERIES, SQL
@@ -42,3 +45,22 @@ def test_line_wrapping_runs(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_line_wrapping_counts(spark):
+    def n_lines(text):
+        n = 0
+        for part in text.split("\n"):
+            n, used = n + 1, 0
+            for token in re.findall(r"[ \t]+|[^ \t]+", part):
+                size = len(regex.findall(r"\X", token))
+                if token[0] not in " \t":
+                    if used and used + size > 90:
+                        n, used = n + 1, 0
+                    while used + size > 90:
+                        n, size, used = n + 1, size - (90 - used), 0
+                used += size
+        return n
+
+    want = {r["doc_id"]: n_lines(r["text"]) for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["n_lines"] for r in QUERIES["q21_line_wrapping"](spark, D).collect()} == want
