@@ -14,9 +14,10 @@
 5. *Verification.* The texts of the pairs' classes meet under the pair's first class (salted where that one has many
    partners); the suffix filter bounds the overlap by halves, then sorted hashes are intersected exactly.
 6. *Rest.* Only pairs of one bucket that are in different components so far can still change anything, and a bucket
-   that lies in one component is done for good. While there are many, buckets get other centres and steps 4 and 5 are
-   repeated on what is apart; in the end all pairs still apart are enumerated (same filters), verified the same way,
-   and the components are built again. Nothing is capped.
+   that lies in one component is done for good. While many can be expected to pass the filters, by the share that
+   passed in the round before, buckets get other centres and steps 4 and 5 are repeated on what is apart; in the end
+   all pairs still apart are enumerated (same filters), verified the same way, and the components are built again.
+   Nothing is capped.
 
 Reading is in the order of the input's own partitions; texts are shuffled only for classes that occur in a pair.
 
@@ -61,7 +62,7 @@ BUCKET_ROWS = 2048
 BROADCAST_ROWS = 400_000
 #: Partners of one class that are verified in one group.
 GROUP = 128
-#: Star rounds go on while the buckets hold more open pairs for each of their rows than this.
+#: Star rounds go on while more open pairs for each row of the buckets than this are expected to pass the filters.
 PAIRS_PER_ROW = 16
 #: Centres of a bucket from the second round on. A round that links less than this share of its pairs is the last.
 CENTRES, FRUITFUL = 12, 0.02
@@ -189,7 +190,7 @@ def _profile(docs: DataFrame, n: int, slots: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        entries, held, place = [], 0, 0
+        entries, held, place, told = [], 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             sizes, firsts, seconds, blocks, places = [], [], [], [], []
             for key, body in zip(batch.column(0).to_pylist(), _bodies(batch.column(1))):
@@ -208,8 +209,9 @@ def _profile(docs: DataFrame, n: int, slots: int) -> DataFrame:
                     yield _questions(np.concatenate(entries), block, slots)
                     entries, held, place, block = [], 0, 0, block + 1
             m = len(sizes)
+            told += m
             yield _asked(
-                m, kind=[0] * m, slot=[x % slots for x in blocks], block=blocks, doc_id=batch.column(0), n_shingles=sizes,
+                m, kind=[0] * m, slot=[x % slots for x in range(told - m, told)], block=blocks, doc_id=batch.column(0), n_shingles=sizes,
                 a=firsts, b=seconds, place=places,
             )
         if entries:
@@ -263,7 +265,7 @@ def _answered(rows: DataFrame) -> DataFrame:
             yield from answers(blocks, chunks)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(run, _ASKED)
+    return rows.repartitionById(parts, F.col("slot") % parts).sortWithinPartitions("slot").mapInArrow(run, _ASKED)
 
 
 def _block_prefixes(reps: dict[int, tuple[int, int]], answers: list[tuple], many: list[tuple], percent: int):
@@ -485,7 +487,7 @@ def _links(docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFr
     links = _verify(docs, stars, n, percent, "ngram-star")
     components = connected_components(links, "u", "v")
     members = buckets.where("m > 2").drop("first", "m")  # two classes are settled by their star
-    checked, fruitful, round_, last = stars, True, 0, False
+    checked, fruitful, passing, round_, last = stars, True, 1.0, 0, False
     while not last:
         round_ += 1
         members = _apart(members, components, round_)
@@ -494,11 +496,11 @@ def _links(docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFr
         rows_left, pairs_left = left.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2)).first()
         if not rows_left:
             break
-        last = not fruitful or pairs_left <= PAIRS_PER_ROW * rows_left
+        last = not fruitful or pairs_left * passing <= PAIRS_PER_ROW * rows_left
         more = _pairs_apart(members, percent) if last else _stars_apart(members, links, percent, round_)
         more = write_stage(more.join(checked, ["x", "y"], "left_anti"), "ngram-pairs")
         n_more = more.count()
-        fruitful = False
+        fruitful, passing = False, n_more / (rows_left * (1 if round_ == 1 else CENTRES))
         if n_more:
             found = _verify(docs, more, n, percent, "ngram-rest")
             checked = checked.unionByName(more)
