@@ -39,7 +39,7 @@ def _padding(side: str) -> Column:
 def _border(props: str, name: str) -> Column:
     """A declared side as a struct; null where it was not declared."""
     p = F.col(props)
-    style = F.get(F.array(*[F.lit(s) for s in STYLES]), F.coalesce(p[f"{name}_style"], F.lit(0)).cast("int"))
+    style = F.get(F.array(*[F.lit(s) for s in STYLES]), F.when(p[f"{name}_none"].isNull(), p[f"{name}_style"].cast("int")).otherwise(0))
     width = F.when(p[f"{name}_hair"].isNotNull(), F.lit(HAIR)).otherwise(
         F.least(F.greatest(F.coalesce(p[f"{name}_w"] / 20.0, F.lit(DEFAULT_WIDTH)), F.lit(MIN_WIDTH)), F.lit(MAX_WIDTH))
     )
@@ -106,7 +106,7 @@ def cells(events: DataFrame) -> DataFrame:
     def shading(props: str, h: str) -> Column:
         back, fore, level = F.col(props)[f"{h}cbpat"], F.col(props)[f"{h}cfpat"], F.col(props)[f"{h}shdng"]
         index = lambda c: F.when(c > 0, c)
-        some = back.isNotNull() | fore.isNotNull() | level.isNotNull()
+        some = index(back).isNotNull() | index(fore).isNotNull() | level.isNotNull()
         return F.when(some, F.struct(index(back).alias("background"), index(fore).alias("foreground"), F.when(level.isNotNull(), F.least(F.greatest(level, F.lit(0)), F.lit(10000))).alias("intensity")))
 
     valign = F.when(prop("clvertalc").isNotNull(), "center").when(prop("clvertalb").isNotNull(), "bottom").otherwise("top")

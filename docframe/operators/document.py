@@ -80,8 +80,6 @@ class Setter:
     def tokens(self, items: list[dict]) -> Iterator[tuple[str, list[tuple[str, float, dict]]]]:
         """(kind, clusters): image, break, tab, space or word; a cluster is (text, width, item). A change of style
         does not end a word."""
-        import regex
-
         run: list[dict] = []
         for item in [*items, None]:
             if item is not None and item["image_id"] is None:
@@ -91,7 +89,7 @@ class Setter:
             for token in Y._tokens("".join(it["text"] for it in run)):
                 kind = {"\n": "break", "\t": "tab", " ": "space"}.get(token[0], "word")
                 clusters, k = [], at
-                for g in regex.findall(r"\X", token):
+                for g in Y.clusters(token):
                     clusters.append((g, self.face(owners[k]).width(g, owners[k]["font_size"]), owners[k]))
                     k += len(g)
                 at += len(token)
@@ -242,20 +240,6 @@ def _item(text: Column, style: Column, image: Column, fallback: str | None) -> C
     )
 
 
-def resolution_diagnostics(events: DataFrame) -> DataFrame:
-    """(doc_id, code, message) of what lookups and table resolution did not find or drop; once for each document."""
-    d = C._boundaries(events)
-    first = F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("i")) == 1
-    lead = d.where("ok").withColumn("_first", first).where(F.col("_first") & R.prop("clmrg").isNotNull())
-    named = lambda df, code, text: df.select("doc_id", F.lit(code).alias("code"), F.lit(text).alias("message"))
-    return (
-        named(d.where("not ok"), "invalid-table-definition", "A cell boundary does not lie beyond the one before; it was dropped.")
-        .unionByName(named(lead, "invalid-table-merge", "A row begins with the continuation of a merge; the cell was kept."))
-        .unionByName(named(L.unresolved(events), "unresolved-list-reference", "A paragraph names a list that does not exist."))
-        .distinct()
-    )
-
-
 def _tables(events: DataFrame, dims: DataFrame) -> DataFrame:
     """Cells with their place in the page's content, borders with colours, fill, and the row they belong to."""
     r = C.rows(events).select("doc_id", "block", F.col("left").alias("row_left"), "height_kind", F.col("height").alias("row_height"), "align")
@@ -537,7 +521,6 @@ def lay_out(
     pages = placed.where("kind = 'page'").select("doc_id", "page", "width", "height")
     message = F.element_at(F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv]), F.col("code"))
     own = placed.where("kind = 'diag'").select("doc_id", F.col("idx").alias("diag_seq"), F.lit("layout").alias("stage"), "code", message.alias("message"), F.lit(0).cast("bigint").alias("offset"))
-    found = resolution_diagnostics(events).select("doc_id", F.lit(None).cast("int").alias("diag_seq"), F.lit("resolve").alias("stage"), "code", "message", F.lit(0).cast("bigint").alias("offset"))
-    diagnostics = R.diagnostics(events).unionByName(found).unionByName(own)
+    diagnostics = R.diagnostics(events).unionByName(own)
     errors = dims.where("error is not null").select("doc_id", F.col("error").alias("error_code")).unionByName(placed.where("kind = 'error'").select("doc_id", F.col("code").alias("error_code")))
     return Layout(pages, lines, pieces, rules, Y.display_list(pieces, rules, pages), diagnostics, errors)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,26 +24,43 @@ def pixel_size(points: Column, ppi: float = 96.0, scale: float = 1.0, ratio: flo
     return F.when(pixels.between(1, MAX_AXIS), pixels)
 
 
-def wrap(text: str, width: float, advance: float = 5.0) -> list[str]:
-    """Greedy lines of ``width`` with every grapheme ``advance`` wide; longer words are split, newlines break."""
+def clusters(text: str) -> list[str]:
+    """Graphemes; plain ASCII without line ends has one for each character."""
+    if text.isascii() and "\r" not in text:
+        return list(text)
     import regex
 
+    return regex.findall(r"\X", text)
+
+
+def wrap(text: str, width: float, advance: float = 5.0) -> list[str]:
+    """Greedy lines of ``width`` with every grapheme ``advance`` wide; longer words are split, newlines break."""
     room = max(1, int((width + EPSILON) // advance))
     lines: list[str] = []
     for part in text.split("\n"):
+        if len(part) <= room:  # no more graphemes than characters
+            lines.append(part.rstrip())
+            continue
+        plain = part.isascii() and "\r" not in part
         line: list[str] = []
-        for token in regex.findall(r"[ \t]+|[^ \t]+", part):
-            marks = regex.findall(r"\X", token)
+        used = 0
+        for token in re.findall(r"[ \t]+|[^ \t]+", part):
+            n = len(token) if plain else len(clusters(token))
             if token[0] in " \t":
-                line += marks
+                line.append(token)
+                used += n
                 continue
-            if line and len(line) + len(marks) > room:
+            if used and used + n > room:
                 lines.append("".join(line).rstrip())
-                line = []
-            while len(line) + len(marks) > room:
-                lines.append("".join(line + marks[: room - len(line)]))
-                marks, line = marks[room - len(line) :], []
-            line += marks
+                line, used = [], 0
+            if used + n > room:
+                marks = clusters(token)
+                while used + len(marks) > room:
+                    lines.append("".join([*line, *marks[: room - used]]))
+                    marks, line, used = marks[room - used :], [], 0
+                token, n = "".join(marks), len(marks)
+            line.append(token)
+            used += n
         lines.append("".join(line).rstrip())
     return lines
 
@@ -110,8 +128,6 @@ def flow(
     """Lines of one paragraph in a column: where each starts, its room, the width of its ink, whether it ends the
     paragraph or a forced line, and its pieces. Every grapheme is ``advance`` wide; tabs go to multiples of ``tab``
     from the column's edge; spaces at a line's end take no room; too narrow a column counts as one point."""
-    import regex
-
     body = max(column - left - right, MIN_COLUMN + max(0.0, first))
     tab = tab if tab > 0 else DEFAULT_TAB
     lines: list[dict] = []
@@ -136,7 +152,7 @@ def flow(
                 end(False)
             pieces.append((" ", reach()))
         else:
-            marks = regex.findall(r"\X", token)
+            marks = clusters(token)
             if pieces and used() + advance * len(marks) > body - indent() + EPSILON:
                 end(False)
                 if token[0] == " ":

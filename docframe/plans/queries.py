@@ -33,9 +33,11 @@ def query(sql: str | None = None):
     return add
 
 
-def _events(df: DataFrame, key: str, body: Column, want: set[str] | None = None) -> DataFrame:
+def _events(df: DataFrame, key: str, body: Column, want: set[str] | None = None, keep: bool = False) -> DataFrame:
+    """Events of documents written with this body; ``keep`` writes them for queries that read them several times."""
     ensure_importable(df.sparkSession)
-    return R.parse(df.select(F.col(key).cast("string").alias("doc_id"), rtf_document(body).alias("content")), want=want)
+    events = R.parse(df.select(F.col(key).cast("string").alias("doc_id"), rtf_document(body).alias("content")), want=want)
+    return write_stage(events, "query-events") if keep else events
 
 
 def _text_events(spark: SparkSession, d: str, want: set[str]) -> DataFrame:
@@ -43,20 +45,18 @@ def _text_events(spark: SparkSession, d: str, want: set[str]) -> DataFrame:
     return _events(docs, "doc_id", F.concat(rtf_escape("text"), F.lit("\\par")), want)
 
 
-def _whole(events: DataFrame, **options) -> DataFrame:
-    lines = R.paragraph_texts(events, **options)
-    parts = F.array_sort(F.collect_list(F.struct("para_seq", "text")))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+#: What a document's whole text needs, and what those of its paragraphs need.
+WHOLE, TEXTS = {"doc", "doctext"}, {"para", "text"}
 
 
 @query("SELECT doc_id, text FROM documents")
 def q01_text_round_trip(spark, d):
-    return _whole(_text_events(spark, d, {"para", "run"})).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return R.document_texts(_text_events(spark, d, WHOLE)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 @query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_paragraphs, CAST(sum(length(text)) OVER (PARTITION BY doc_id) - len(string_split(text, chr(10))) + 1 AS BIGINT) AS n_chars FROM documents")
 def q02_paragraph_counts(spark, d):
-    p = R.paragraph_texts(_text_events(spark, d, {"para", "run"}))
+    p = R.paragraph_texts(_text_events(spark, d, TEXTS))
     return p.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.count("*").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars")
     )
@@ -79,7 +79,7 @@ def q05_colour_lookup(spark, d):
         F.lit("{\\colortbl;\\red1\\green1\\blue1;\\red"), (F.col("p_size") % 256).cast("string"), F.lit("\\green"), ((F.col("p_partkey") * 7) % 256).cast("string"),
         F.lit("\\blue128;}\\cf2\\fs"), (F.col("p_size") % 40 + 1).cast("string"), F.lit(" x\\par"),
     )
-    e = _events(p, "p_partkey", body, {"run", "color"})
+    e = _events(p, "p_partkey", body, {"run", "color"}, keep=True)
     r = R.runs(e).select("doc_id", F.col("style.color").alias("idx"), "font_size")
     return r.join(R.colors(e), ["doc_id", "idx"]).select(F.col("doc_id").cast("bigint").alias("p_partkey"), "rgb", "font_size")
 
@@ -95,35 +95,35 @@ def q06_font_upsert(spark, d):
 def q07_hidden_text(spark, d):
     s = table(spark, d, "supplier")
     body = F.concat(F.when(F.col("s_acctbal") > 0, "\\v0 ").otherwise("\\v "), F.col("s_name"), F.lit("\\par"))
-    return _whole(_events(s, "s_suppkey", body, {"run", "para"}), keep_hidden=False).select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "text")
+    return R.document_texts(_events(s, "s_suppkey", body, WHOLE), keep_hidden=False).select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "text")
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderpriority || o_orderstatus AS text FROM orders")
 def q08_ignorable_destinations(spark, d):
     o = table(spark, d, "orders")
     body = F.concat(F.lit("{\\info{\\title nope}}{\\*\\unknownthing x{\\fonttbl y}}"), F.col("o_orderpriority"), F.lit("{\\footnote no}{\\*\\bkmkstart b}{\\stylesheet{\\s1 no;}}"), F.col("o_orderstatus"), F.lit("\\par"))
-    return _whole(_events(o, "o_orderkey", body, {"run", "para"})).select(F.col("doc_id").cast("bigint").alias("o_orderkey"), "text")
+    return R.document_texts(_events(o, "o_orderkey", body, WHOLE)).select(F.col("doc_id").cast("bigint").alias("o_orderkey"), "text")
 
 
 @query("SELECT page_id, 'see ' || url AS text FROM pages")
 def q09_fields(spark, d):
     p = table(spark, d, "pages").withColumn("u", rtf_escape("url"))
     body = F.concat(F.lit("see {\\field{\\*\\fldinst HYPERLINK \"hidden\"}{\\fldrslt "), F.col("u"), F.lit("}}\\par"))
-    return _whole(_events(p, "page_id", body, {"run", "para"})).select(F.col("doc_id").cast("bigint").alias("page_id"), "text")
+    return R.document_texts(_events(p, "page_id", body, WHOLE)).select(F.col("doc_id").cast("bigint").alias("page_id"), "text")
 
 
 @query("SELECT item_id, text FROM benchmark")
 def q10_unicode_alternative(spark, d):
     b = table(spark, d, "benchmark").withColumn("u", rtf_escape("text"))
     body = F.concat(F.lit("{\\upr{ansi copy}{\\*\\ud "), F.col("u"), F.lit("}}\\par"))
-    return _whole(_events(b, "item_id", body, {"run", "para"})).select(F.col("doc_id").cast("bigint").alias("item_id"), "text")
+    return R.document_texts(_events(b, "item_id", body, WHOLE)).select(F.col("doc_id").cast("bigint").alias("item_id"), "text")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def q11_table_cells(spark, d):
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     body = F.concat(F.lit("\\trowd\\cellx1440\\cellx2880\\intbl "), F.col("n_name"), F.lit("\\cell "), F.col("r_name"), F.lit("\\cell\\row"))
-    c = C.cells(_events(n, "n_nationkey", body))
+    c = C.cells(_events(n, "n_nationkey", body, keep=True))
     return c.groupBy(F.col("doc_id").cast("bigint").alias("n_nationkey")).agg(
         F.max(F.when(F.col("cell_idx") == 0, F.col("text"))).alias("n_name"), F.max(F.when(F.col("cell_idx") == 1, F.col("text"))).alias("r_name")
     )
@@ -136,7 +136,7 @@ def q12_merged_cells(spark, d):
         F.lit("\\trowd\\clmgf\\cellx1440\\clmrg\\cellx"), (2880 + 20 * F.col("n_nationkey")).cast("string"), F.lit("\\cellx2880\\cellx8640\\intbl "),
         F.col("n_name"), F.lit("\\cell\\cell more\\cell tail\\cell\\row"),
     )
-    c = C.cells(_events(n, "n_nationkey", body))
+    c = C.cells(_events(n, "n_nationkey", body, keep=True))
     return c.groupBy(F.col("doc_id").cast("bigint").alias("n_nationkey")).agg(
         F.count("*").cast("int").alias("n_cells"), F.max(F.when(F.col("cell_idx") == 0, F.col("right"))).alias("first_right"),
         F.max(F.when(F.col("cell_idx") == 0, F.col("text"))).alias("first_text"),
@@ -151,7 +151,7 @@ def q13_cell_fallbacks(spark, d):
         F.lit("\\trowd\\trgaph100\\trrh"), F.when(F.col("p_size") % 3 == 0, "-").otherwise(""), size, F.lit("\\trbrdrl\\brdrs\\brdrw"), size,
         F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\\clpadfl3\\clpadl"), size)).otherwise("\\clpadfl2\\clpadl7"), F.lit("\\cellx1440\\intbl x\\cell\\row"),
     )
-    e = _events(p, "p_partkey", body)
+    e = _events(p, "p_partkey", body, keep=True)
     return C.cells(e).join(C.rows(e), ["doc_id", "block"]).select(
         F.col("doc_id").cast("bigint").alias("p_partkey"), F.col("padding.left").alias("pad_left"), F.col("borders.left.width").alias("border_width"), "height_kind", "height"
     )
@@ -164,7 +164,7 @@ def q14_shading(spark, d):
         F.lit("{\\colortbl;\\red230\\green230\\blue230;\\red"), (F.col("p_size") % 200).cast("string"), F.lit("\\green84\\blue147;}\\trowd\\clcbpat1\\clcfpat2\\clshdng"),
         (F.col("p_partkey") * 37 % 10001).cast("string"), F.lit("\\cellx1440\\intbl x\\cell\\row"),
     )
-    e = _events(p, "p_partkey", body)
+    e = _events(p, "p_partkey", body, keep=True)
     col = lambda name: R.colors(e).select("doc_id", F.col("idx").alias(name), F.col("rgb").alias(name + "_rgb"))
     c = C.cells(e).select("doc_id", F.col("shading.background").cast("int").alias("back"), F.col("shading.foreground").cast("int").alias("fore"), "shading.intensity")
     c = c.join(col("back"), ["doc_id", "back"], "left").join(col("fore"), ["doc_id", "fore"], "left")
@@ -184,7 +184,7 @@ def q15_list_markers(spark, d):
     c = table(spark, d, "conversations")
     item = F.concat(F.lit("\\pard\\ls1\\ilvl"), F.when(F.col("role") == "assistant", "1 ").otherwise("0 "), F.col("turn").cast("string"), F.lit("\\par"))
     one = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("x")))), lambda r: r["x"]), "").alias("body"))
-    e = _events(one, "conv_id", F.concat(F.lit(_LISTS), F.col("body")))
+    e = _events(one, "conv_id", F.concat(F.lit(_LISTS), F.col("body")), keep=True)
     return L.markers(e).join(R.paragraph_texts(e), ["doc_id", "para_seq"]).select(
         F.col("doc_id").cast("bigint").alias("conv_id"), F.col("text").cast("bigint").alias("turn"), "marker"
     )
@@ -204,7 +204,7 @@ def q16_number_formats(spark, d):
 def q17_order_tables(spark, d):
     o = table(spark, d, "orders")
     body = F.concat(F.lit("\\trowd\\cellx1440\\cellx2880\\intbl "), F.col("o_orderstatus"), F.lit("\\cell "), F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string"), F.lit("\\cell\\row"))
-    t = R.paragraph_texts(_events(o, "o_orderkey", body, {"para", "run"})).where("cell is not null")
+    t = R.paragraph_texts(_events(o, "o_orderkey", body, TEXTS)).where("cell is not null")
     row = t.groupBy("doc_id").agg(F.max(F.when(F.col("cell") == 0, F.col("text"))).alias("o_orderstatus"), F.max(F.when(F.col("cell") == 1, F.col("text"))).alias("c"))
     return row.groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"), F.sum(F.col("c").cast("bigint")).alias("cents"))
 
@@ -231,7 +231,7 @@ def q19_exact_pagination(spark, d):
 
 @query()
 def q21_line_wrapping(spark, d):
-    p = R.paragraph_texts(_text_events(spark, d, {"para", "run"}))
+    p = R.paragraph_texts(_text_events(spark, d, TEXTS))
     return Y.break_lines(p, 450.0).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sum(F.size("lines")).alias("n_lines"))
 
 
@@ -268,7 +268,7 @@ def q24_pixel_size(spark, d):
 def q25_diagnostics(spark, d):
     e = table(spark, d, "events")
     body = F.concat(F.lit("\\nosuchword\\nosuchword{\\*\\nosuchgroup a}{\\*\\nosuchgroup b}"), F.col("event_type"), F.lit("\\par"))
-    ev = _events(e, "event_id", body, {"diag", "run"})
+    ev = _events(e, "event_id", body, {"diag", "run"}, keep=True)
     return R.diagnostics(ev).join(R.runs(ev).select("doc_id", F.col("text").alias("event_type")), "doc_id").groupBy("event_type").agg(F.count("*").alias("n_codes"))
 
 
@@ -285,7 +285,7 @@ def q28_unresolved_lists(spark, d):
     c = table(spark, d, "conversations")
     item = F.concat(F.lit("\\pard\\ls"), F.when(F.col("role") == "assistant", "1").otherwise("9"), F.lit(" x\\par"))
     one = c.groupBy("conv_id").agg(F.array_join(F.collect_list(item), "").alias("body"))
-    e = _events(one, "conv_id", F.concat(F.lit(_LISTS), F.col("body")))
+    e = _events(one, "conv_id", F.concat(F.lit(_LISTS), F.col("body")), keep=True)
     return L.unresolved(e).groupBy(F.col("doc_id").cast("bigint").alias("conv_id")).agg(F.count("*").alias("n_unresolved"))
 
 
@@ -298,7 +298,7 @@ def q30_labels(spark, d):
 @query("SELECT doc_id, text FROM documents")
 def q03_code_page_bytes(spark, d):
     t = table(spark, d, "documents").withColumn("b", rtf_escape("text", "cp1252"))
-    return _whole(_events(t, "doc_id", F.concat("b", F.lit("\\par")), {"para", "run"})).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return R.document_texts(_events(t, "doc_id", F.concat("b", F.lit("\\par")), WHOLE)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 @query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'parse' AS stage, CASE WHEN p_size % 2 = 0 THEN 'approximated-metafile-bitmap' ELSE 'unsupported-vector-image' END AS code FROM part
@@ -314,8 +314,8 @@ def q27_picture_diagnostics(spark, d):
 def q31_alignment(spark, d):
     c = table(spark, d, "customer")
     align = F.when(F.col("c_custkey") % 3 == 0, "\\ql ").when(F.col("c_custkey") % 3 == 1, "\\qc ").otherwise("\\qr ")
-    e = _events(c, "c_custkey", F.concat(F.lit("\\pard"), align, "c_name", F.lit("\\par")), {"para", "run"})
-    p = R.paragraph_texts(e).join(R.paragraphs(e).select("doc_id", "para_seq", "align", "left_indent", "right_indent", "first_line_indent"), ["doc_id", "para_seq"])
+    e = _events(c, "c_custkey", F.concat(F.lit("\\pard"), align, "c_name", F.lit("\\par")), TEXTS)
+    p = R.paragraphs(e, texts=True)
     return Y.fragments(Y.lay_lines(p, 450.0), ["doc_id"]).select(F.col("doc_id").cast("bigint").alias("c_custkey"), "text", "x")
 
 

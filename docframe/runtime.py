@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
+#: Used only where the session names no spark.checkpoint.dir and runs on this machine alone (tests, notebooks).
 DEFAULT_SCRATCH = "/tmp/checkpoints/docframe"
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -27,8 +27,12 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a default only where the setting is absent."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder of spark.checkpoint.dir. Without that setting a cluster has no folder that all executors
+    share, which is an error; a session on one machine takes a folder of its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or DEFAULT_SCRATCH).rstrip("/")
 
 

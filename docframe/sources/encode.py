@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_WRITTEN = {"\\": "\\\\", "{": "\\{", "}": "\\}", "\n": "\\par\n", "\t": "\\tab "}
+_SPECIAL = re.compile(r"[\\{}]|[^ -~]")
+
 
 def escape(text: str, codepage: str | None = None) -> str:
     """Public rules only: braces and backslashes escaped, lines end in a paragraph, other characters as bytes of the
     code page where it has them, else as numbers."""
-    out = []
-    for c in text:
-        if c in "\\{}":
-            out.append("\\" + c)
-        elif c == "\n":
-            out.append("\\par\n")
-        elif c == "\t":
-            out.append("\\tab ")
-        elif " " <= c < "\x7f":
-            out.append(c)
-        elif codepage and (raw := c.encode(codepage, "ignore")):
-            out.append("".join(f"\\'{b:02x}" for b in raw))
-        else:
-            units = c.encode("utf-16-le")
-            for k in range(0, len(units), 2):
-                n = int.from_bytes(units[k : k + 2], "little")
-                out.append(f"\\u{n - 65536 if n > 32767 else n}?")
-    return "".join(out)
+
+    def one(m: re.Match) -> str:
+        c = m[0]
+        if c in _WRITTEN:
+            return _WRITTEN[c]
+        if codepage and (raw := c.encode(codepage, "ignore")):
+            return "".join(f"\\'{b:02x}" for b in raw)
+        units = c.encode("utf-16-le", "surrogatepass")
+        numbers = [int.from_bytes(units[k : k + 2], "little", signed=True) for k in range(0, len(units), 2)]
+        return "".join(f"\\u{n}?" for n in numbers)
+
+    return _SPECIAL.sub(one, text)
 
 
 def rtf_escape(text: str, codepage: str | None = None) -> Column:

@@ -17,8 +17,8 @@ STYLE = (
     "highlight:int,hidden:boolean,shift:double>"
 )
 EVENTS = (
-    "doc_id string, seq int, etype string, block int, cell int, item int, sub int, text string, message string, "
-    f"image string, data binary, numbers array<int>, style {STYLE}, props map<string,bigint>"
+    "doc_id string, seq int, etype string, block int, cell int, item int, sub int, text string, plain string, shown string, "
+    f"message string, image string, data binary, numbers array<int>, style {STYLE}, props map<string,bigint>"
 )
 _STYLE = pa.struct(
     [("font_id", pa.int32()), ("half_points", pa.int32()), *[(k, pa.bool_()) for k in ("bold", "italic", "underline", "strike")],
@@ -26,14 +26,14 @@ _STYLE = pa.struct(
 )
 _ARROW = pa.schema(
     [("doc_id", pa.string()), ("seq", pa.int32()), ("etype", pa.string()),
-     *[(k, pa.int32()) for k in ("block", "cell", "item", "sub")], ("text", pa.string()), ("message", pa.string()),
-     ("image", pa.string()), ("data", pa.binary()), ("numbers", pa.list_(pa.int32())), ("style", _STYLE),
+     *[(k, pa.int32()) for k in ("block", "cell", "item", "sub")],
+     *[(k, pa.string()) for k in ("text", "plain", "shown", "message", "image")], ("data", pa.binary()), ("numbers", pa.list_(pa.int32())), ("style", _STYLE),
      ("props", pa.map_(pa.string(), pa.int64()))]
 )
 #: What the scan says of a document over the size limit.
 TOO_LARGE = [{"etype": "error", "text": "InputTooLarge", "props": {"offset": 0}}]
-#: Events sent in one Arrow batch.
-BATCH = 4096
+#: Events, and bytes of documents, sent in one Arrow batch at least.
+BATCH, BATCH_BYTES = 4096, 4 << 20
 
 
 def _within_limit(files: DataFrame) -> DataFrame:
@@ -54,27 +54,62 @@ def read_stream(spark: SparkSession, path: str, glob: str = "*.rtf") -> DataFram
     return _within_limit(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path))
 
 
+class _Styles(dict):
+    """Styles as Arrow scalars by identity: a document has few, and each is one object."""
+
+    def __init__(self):
+        super().__init__()
+        self.held: list[dict] = []  # keeps the objects alive, so that their identities stay theirs
+
+    def index(self, style: dict | None) -> int | None:
+        if style is None:
+            return None
+        at = self.get(id(style))
+        if at is None:
+            at = self[id(style)] = len(self.held)
+            self.held.append(style)
+        return at
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    """Events as columns; a column that no event of the batch has is null throughout."""
+    m, arrays = len(rows), []
+    for field in _ARROW:
+        values = [e.get(field.name) for e in rows]
+        if field.name == "style" and any(values):
+            known = _Styles()
+            at = pa.array([known.index(v) for v in values], pa.int32())
+            arrays.append(pa.array(known.held, _STYLE).take(at))
+        elif field.name == "props":
+            arrays.append(pa.array([None if v is None else list(v.items()) for v in values], field.type))
+        else:
+            arrays.append(pa.nulls(m, field.type) if not any(v is not None for v in values) else pa.array(values, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+
+
 def parse(docs: DataFrame, doc_id: str = "doc_id", content: str = "content", want: set[str] | None = None) -> DataFrame:
     """Events of all documents. ``want`` names the event types to send from the workers; errors are always sent.
 
     Rows that a column ``too_large`` marks, as files over the size limit, have no content and give their error.
+    Paragraphs come with their text if ``text`` is wanted, too, and documents with theirs for ``doctext``.
     """
     ensure_importable(docs.sparkSession)
-    keep = None if want is None else {*want, "error"}
+    keep = None if want is None else frozenset(want)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
+        held = 0
         for batch in batches:
             for key, body, large in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                for seq, e in enumerate(TOO_LARGE if large else scan(body.as_py())):
-                    if keep is None or e["etype"] in keep:
-                        p = e.get("props")
-                        rows.append(e | {"doc_id": key, "seq": seq, "props": None if p is None else list(p.items())})
-                if len(rows) >= BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                    rows = []
+                body = b"" if large else body.as_py() or b""
+                for seq, e in enumerate(TOO_LARGE if large else scan(body, keep)):
+                    rows.append(e | {"doc_id": key, "seq": seq})
+                held += len(body)
+                if len(rows) >= BATCH or held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            yield _batch(rows)
 
     large = F.col("too_large") & F.col(content).isNull() if "too_large" in docs.columns else F.lit(False)
     return docs.select(F.col(doc_id).cast("string"), F.col(content), large.alias("_large")).mapInArrow(run, EVENTS)
@@ -132,7 +167,8 @@ def runs(events: DataFrame) -> DataFrame:
     )
 
 
-def paragraphs(events: DataFrame) -> DataFrame:
+def paragraphs(events: DataFrame, texts: bool = False) -> DataFrame:
+    """One row for each paragraph; ``texts`` adds its text, for events parsed with it."""
     align = F.when(prop("qc").isNotNull(), "center").when(prop("qr").isNotNull(), "right").when(prop("qj").isNotNull(), "justify")
     sl, mult = F.coalesce(prop("sl"), F.lit(0)), F.coalesce(prop("slmult"), F.lit(0)) != 0
     spacing = (
@@ -148,23 +184,26 @@ def paragraphs(events: DataFrame) -> DataFrame:
         spacing.alias("line_spacing"), F.coalesce(prop("pagebb") != 0, F.lit(False)).alias("page_break_before"),
         F.col("style").alias("mark_style"), prop("ls").cast("int").alias("ls"),
         F.coalesce(prop("ilvl"), F.lit(0)).cast("int").alias("ilvl"), F.col("text").alias("list_text"),
+        *([F.col("plain").alias("text")] if texts else []),
     )
 
 
+def _text(keep_hidden: bool) -> Column:
+    return F.col("plain") if keep_hidden else F.coalesce("shown", "plain")
+
+
 def paragraph_texts(events: DataFrame, keep_hidden: bool = True) -> DataFrame:
-    """(doc_id, block, cell, para_in_cell, para_seq, text): runs of each paragraph joined in order."""
-    r = runs(events).where("kind = 'text'")
-    if not keep_hidden:
-        r = r.where(~F.col("style.hidden"))
-    joined = r.groupBy("doc_id", "block", F.coalesce("cell", F.lit(-1)).alias("_c"), "para_in_cell").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_seq", "text"))), lambda x: x["text"]), "").alias("text")
-    )
-    p = paragraphs(events).select("doc_id", "para_seq", "block", "cell", "para_in_cell", F.coalesce("cell", F.lit(-1)).alias("_c"))
-    return p.join(joined, ["doc_id", "block", "_c", "para_in_cell"], "left").select(
-        "doc_id", "para_seq", "block", "cell", "para_in_cell", F.coalesce("text", F.lit("")).alias("text")
+    """(doc_id, block, cell, para_in_cell, para_seq, text): the text of each paragraph, as the scan joined it."""
+    return events.where("etype = 'para'").select(
+        "doc_id", F.col("seq").alias("para_seq"), "block", "cell", F.col("item").alias("para_in_cell"), _text(keep_hidden).alias("text")
     )
 
 
+def document_texts(events: DataFrame, keep_hidden: bool = True) -> DataFrame:
+    """(doc_id, text): paragraphs in order, one on each line; for events parsed with ``doctext``. No shuffle."""
+    return events.where("etype = 'doc'").select("doc_id", _text(keep_hidden).alias("text"))
+
+
 def paragraph_runs(events: DataFrame, keep_hidden: bool = True) -> DataFrame:
     """(doc_id, block, para_in_cell, para_seq, p, r): each paragraph as a struct with the array of its runs in order.
 
