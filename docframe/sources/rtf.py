@@ -226,9 +226,14 @@ def paragraph_runs(events: DataFrame, keep_hidden: bool = True) -> DataFrame:
     return whole.where("p is not null").select("doc_id", "block", "para_in_cell", F.col("p.para_seq").alias("para_seq"), "p", "r")
 
 
+#: Codes of what lookups do not find and of boundaries that are dropped.
+RESOLVED = ("unresolved-list-reference", "invalid-table-definition", "invalid-table-merge")
+
+
 def diagnostics(events: DataFrame) -> DataFrame:
+    stage = F.when(F.col("text").isin(*RESOLVED), "resolve").otherwise("parse")
     return events.where("etype = 'diag'").select(
-        "doc_id", F.col("seq").alias("diag_seq"), F.lit("parse").alias("stage"), F.col("text").alias("code"), "message",
+        "doc_id", F.col("seq").alias("diag_seq"), stage.alias("stage"), F.col("text").alias("code"), "message",
         prop("offset").alias("offset"),
     )
 
