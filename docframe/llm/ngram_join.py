@@ -53,7 +53,7 @@ PERCENT = 75
 #: Bits of an n-gram's hash that stand for it in frequencies and buckets; the rest of a 64-bit word numbers documents.
 KEY_BITS, PLACE_BITS = 40, 24
 #: N-grams of one block of documents, and those that one range of hashes holds on average.
-BLOCK_GRAMS, RANGE_GRAMS = 1 << 20, 1 << 21
+BLOCK_GRAMS, RANGE_GRAMS = 1 << 20, 1 << 20
 #: Text bytes for each n-gram, at least: words of one letter with a blank would be 2, prose has 6.
 BYTES_PER_GRAM = 5
 #: Documents of one frequent n-gram that are handled together.
