@@ -72,6 +72,8 @@ class ByteBPE:
             pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
             and spec.get("normalizer") is None and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout")
         )
+        #: Whether words are parted by BYTE_LEVEL_PATTERN alone, so that they can be encoded apart.
+        self.by_words = bool(plain)
         if plain and ids == sorted(ids):
             import tiktoken
 
@@ -106,13 +108,15 @@ class ByteBPE:
         table = self.token_bytes
         return b"".join([table[i] for i in ids]).decode("utf-8", errors="replace")
 
-    def sentence_ends(self) -> np.ndarray:
-        """For each id, whether its token closes a sentence or a line."""
-        flags = np.zeros(len(self.token_bytes), dtype=bool)
+    def sentence_marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each id whether its token closes a sentence in any case, closes one if a blank follows, begins with a blank."""
+        always, closing, blank = (np.zeros(len(self.token_bytes), dtype=bool) for _ in range(3))
         for i, b in enumerate(self.token_bytes):
             s = b.rstrip(b"\"')]")
-            flags[i] = s.endswith((b".", b"!", b"?", b"\n", "。".encode(), "…".encode()))
-        return flags
+            always[i] = b.endswith(b"\n") or b.endswith(("。".encode(), "！".encode(), "？".encode()))
+            closing[i] = s.endswith((b".", b"!", b"?", "…".encode()))
+            blank[i] = b[:1].isspace()
+        return always, closing, blank
 
 
 @lru_cache(maxsize=2)
