@@ -7,7 +7,9 @@ sentence end: little, elsewhere: more) and a constant for each window. The cheap
     best[j] = end_penalty[j] + each + min(window - pos[j] + min(best[i] + pos[i]), min(best[i] at a power of two))
 
 where i runs over the cuts within one window before j. The inner minimum slides, so a monotone queue gives it in
-constant time for each cut. Cuts may fall at document ends, sentence ends and on a fixed grid of token positions.
+constant time for each cut. Cuts fall at document ends and sentence ends; only inside a stretch that is longer than the
+window and has neither may they fall anywhere. A sentence ends after a line, after a full stop of a script without
+blanks, and after other closing marks where a blank or the document's end follows.
 
 A stream is solved in segments that end at a document's end after ``segment`` tokens, so memory is bounded by a
 segment plus one document. There is no shuffle: groups and hot sources do not matter.
@@ -39,7 +41,6 @@ from docframe.llm.tokenizing import byte_bpe, public_path
 from docframe.runtime import ensure_importable
 
 WINDOW = 1024
-GRID = 32
 SEGMENT = 1 << 18
 CLOSING_ID = 0
 #: Costs in padding tokens.
@@ -47,11 +48,16 @@ SENTENCE_PENALTY, CUT_PENALTY, EACH = 4.0, 16.0, 48.0
 
 
 def choose_cuts(
-    n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW, grid: int = GRID,
+    n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW, grid: int | None = None,
     sentence_penalty: float = SENTENCE_PENALTY, cut_penalty: float = CUT_PENALTY, each: float = EACH,
 ) -> np.ndarray:
-    """Ends of the windows over a stream of ``n`` tokens (the last is ``n``)."""
-    pos = np.union1d(np.union1d(np.arange(0, n, min(grid, window)), sentence_ends), np.append(doc_ends, n))
+    """Ends of the windows over a stream of ``n`` tokens (the last is ``n``). ``grid`` allows more cuts, at its multiples."""
+    pos = np.union1d(np.append(sentence_ends, 0), np.append(doc_ends, n)).astype(np.int64)
+    if grid:
+        pos = np.union1d(pos, np.arange(0, n, min(grid, window)))
+    long = np.flatnonzero(np.diff(pos) > window)
+    if len(long):
+        pos = np.union1d(pos, np.concatenate([np.arange(pos[k], pos[k + 1]) for k in long]))
     penalty = np.full(len(pos), cut_penalty)
     penalty[np.searchsorted(pos, sentence_ends)] = sentence_penalty
     penalty[np.searchsorted(pos, np.append(doc_ends, n))] = 0.0
@@ -96,13 +102,22 @@ def _schema(with_ids: bool) -> T.StructType:
     return out.add("token_ids", T.ArrayType(T.IntegerType())) if with_ids else out
 
 
-def _solve(docs: list, ids: list[np.ndarray], ends_sentence: np.ndarray, first: int, with_ids: bool, options: dict):
+def sentence_ends(stream: np.ndarray, doc_ends: np.ndarray, marks: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Places in a stream of ids after which a sentence is over, by what its tokens end and begin with."""
+    always, closing, blank = marks
+    follows = np.append(blank[stream[1:]], True)
+    follows[doc_ends - 1] = True
+    follows[doc_ends - 2] = True  # before the closing id
+    return np.flatnonzero(always[stream] | closing[stream] & follows) + 1
+
+
+def _solve(docs: list, ids: list[np.ndarray], marks: tuple, first: int, with_ids: bool, options: dict):
     """Pieces of one segment as columns, and the number of sequences."""
     stream = np.concatenate(ids)
     sizes = np.array([len(x) for x in ids])
     doc_ends = np.cumsum(sizes)
     doc_starts = doc_ends - sizes
-    sentences = np.flatnonzero(ends_sentence[stream]) + 1
+    sentences = sentence_ends(stream, doc_ends, marks)
     cuts = choose_cuts(len(stream), doc_ends, sentences, **options)
     seq_starts = np.append(0, cuts[:-1])
     begins = np.union1d(doc_starts, seq_starts)
@@ -136,7 +151,7 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        ends = bpe.sentence_ends()
+        ends = bpe.sentence_marks()
         closing = np.array([CLOSING_ID], dtype=np.uint32)
         next_id = TaskContext.get().partitionId() << 33
         docs: list = []
