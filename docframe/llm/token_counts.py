@@ -8,27 +8,34 @@ which means that no token can reach across it whatever stands further left or ri
 * the character before it is white space and the one at it is not, and
 * a run of agreeing tokens (same ids, same offsets) surrounds it in both chunks.
 
-If a pair of chunks has no such place in its overlap, the overlap is doubled and the right chunk is encoded
-again; when the overlap has grown to the whole rest of the text the two are encoded as one, which is exact by
-itself. Memory is bounded by one text and its widest chunk; there is no shuffle, so skew cannot arise, and a lost
-executor costs only its running tasks.
+If a pair of chunks has no such place in its overlap, the overlap is widened (at once past what holds no white space
+at all) and the right chunk is encoded again; when the overlap has grown to the whole left chunk the two are encoded
+as one, which is exact by itself, and the next chunk is twice as long, so a text without any boundary costs a constant
+number of encodings of its length. The proof rests on a pre-tokeniser that keeps no white space inside a word and a
+normaliser that looks at single characters and runs of blanks; with any other tokenizer texts are encoded whole.
+Memory is bounded by one text and its widest chunk; there is no shuffle, so skew cannot arise, and a lost executor
+costs only its running tasks.
 
 Defined results for odd input
 -----------------------------
 * null or empty text: 0 bytes, 0 tokens, not over the limit;
 * special strings inside texts are read as the library's default has it;
 * nulls in other columns, ties, repeated rows: each row is counted on its own;
-* an empty table gives an empty table; all input columns stay, clashing ones are replaced by the counts.
+* an empty table gives an empty table; all input columns stay, those named as a count in any case are replaced.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docframe.llm.text import column_of, restored, unnamed
 from docframe.llm.tokenizing import library_tokenizer, public_path
 from docframe.runtime import ensure_importable
 
@@ -36,6 +43,9 @@ CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 #: Tokens that must agree on either side of a splice.
 AGREE = 4
+#: Fixed value: the words of a tokenizer whose words hold no white space.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BLANK = re.compile(r"\s\S")
 
 
 def _stable(text: str, at: int) -> bool:
@@ -63,29 +73,45 @@ def _splice(text: str, left: list, right: list) -> tuple[int, int] | None:
     return None
 
 
+@lru_cache(maxsize=4)
+def parts_at_blanks(path: str) -> bool:
+    """Whether white space always parts words in this tokenizer, so that chunks may be spliced after it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normalizer, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    splits = pre.get("pretokenizers", [pre] if pre else [])
+    local = all(x.get("type") in ("NFC", "Lowercase") or x.get("type") == "Replace" and x["pattern"].get("Regex") == r"\s+" for x in steps)
+    first = splits[0] if splits else {}
+    apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    return local and apart and first["pattern"].get("Regex") == WORDS
+
+
 def encode_long(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
     """The ids of ``tok.encode(text)``, from chunks."""
     for special in (t.content for t in tok.get_added_tokens_decoder().values()):
         if special in text:  # may hold white space or match across any cut: no boundary is provably stable
             return tok.encode(text, add_special_tokens=False).ids
     ids: list[int] = []
-    start, end = 0, min(len(text), chunk)
+    start, end, step = 0, min(len(text), chunk), chunk
     tokens = _tokens(tok, text, start, end)
     while end < len(text):
         width = overlap
         while True:
             begin = max(start, end - width)
-            stop = min(len(text), end + chunk)
+            stop = min(len(text), end + step)
             if begin == start:  # no stable boundary in the whole left chunk: both become one
-                end, tokens = stop, _tokens(tok, text, start, stop)
+                end, tokens, step = stop, _tokens(tok, text, start, stop), 2 * (stop - start)
                 break
-            right = _tokens(tok, text, begin, stop)
-            found = _splice(text, tokens, right)
+            found = None
+            if _BLANK.search(text, begin, end):
+                right = _tokens(tok, text, begin, stop)
+                found = _splice(text, tokens, right)
             if found:
                 ids += [t[2] for t in tokens[: found[0]]]
-                start, end, tokens = right[found[1]][0], stop, right[found[1] :]
+                start, end, tokens, step = right[found[1]][0], stop, right[found[1] :], chunk
                 break
-            width *= 2
+            width *= 4
     return ids + [t[2] for t in tokens]
 
 
@@ -98,9 +124,10 @@ def count_tokens(texts: list[str], path: str, chunk: int = CHUNK_CHARS, overlap:
         some = short[at : at + 256]
         for k, e in zip(some, tok.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)):
             counts[k] = len(e)
+    spliced = parts_at_blanks(path)
     for k, t in enumerate(texts):
         if len(t) > chunk:
-            counts[k] = len(encode_long(tok, t, chunk, overlap))
+            counts[k] = len(encode_long(tok, t, chunk, overlap) if spliced else tok.encode(t, add_special_tokens=False))
     return counts
 
 
@@ -117,12 +144,10 @@ def with_token_counts(
         for s in batches:
             yield pd.Series(count_tokens(s.tolist(), path, chunk_chars, overlap_chars), dtype="int64")
 
-    t = F.coalesce(F.col(text), F.lit(""))
-    return (
-        df.withColumn("n_tokens", n_tokens(t))
-        .withColumn("n_bytes", F.octet_length(t).cast("long"))
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    t = F.coalesce(F.col(column_of(df, text)), F.lit(""))
+    counted = unnamed(df).withColumn("n_tokens", n_tokens(t))
+    made = {"n_bytes": F.octet_length(t).cast("long"), "over_limit": F.col("n_tokens") > limit}
+    return restored(counted.withColumns(made), df.columns, ["n_bytes", "n_tokens", "over_limit"])
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
