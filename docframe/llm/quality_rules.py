@@ -10,7 +10,7 @@ Defined results for odd input
 * nulls in other columns, repeated rows and ties: each row is judged on its own text and passed through;
 * very long texts: judged whole, no prefix; the bits for positions in the window sort follow the word count;
 * an empty table gives an empty table;
-* columns of the input keep their values; added columns replace input columns of the same name.
+* columns of the input keep their values; added columns replace input columns of the same name in any case.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.text import SPACE_CLASS, SPACES, words
+from docframe.llm.text import SPACE_CLASS, SPACES, column_of, restored, unnamed, words
 
 #: Symbols counted by the base statistics.
 SYMBOL_CLASS = "[#*$%&|<>]"
@@ -28,6 +28,9 @@ SYMBOL_CLASS = "[#*$%&|<>]"
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript",
     "log in", "lorem ipsum", "privacy policy", "read more", "sign up", "subscribe to", "terms of service", "terms of use",
+    "aceptar cookies", "iniciar sesión", "política de privacidad", "todos los derechos reservados",
+    "accepter les cookies", "lire la suite", "politique de confidentialité", "tous droits réservés",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen",
 )
 
 
@@ -66,26 +69,34 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
     shouted = (
         (F.length(bare) >= rules.min_shout_letters) & ~line.rlike("\\p{Ll}") & line.rlike("\\p{Lu}")
     )
-    phrase = (n_words <= rules.boilerplate_words) & line.rlike("(?i)" + "|".join(BOILERPLATE))
+    phrase = (n_words <= rules.boilerplate_words) & line.rlike("(?iu)" + "|".join(BOILERPLATE))
     return (F.length(bare) > 0) & (punctuation | navigation | shouted | phrase)
 
 
-def with_base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def window_hash(words: list[Column]) -> Column:
+    """64 bits that stand for a window of words while equal ones are looked for."""
+    return F.xxhash64(*words)
+
 
-    A word counts as repeated if some window of three words that holds it occurs twice or more in the text.
-    Windows are hashed with xxhash64; only where a text has equal hashes, hash and position are packed into one
-    long, sorted, and neighbours compared: n log n in the text's words. The low bits hold the position and take
-    as many bits as the word count needs.
+def _statistics(df: DataFrame, at: str) -> DataFrame:
+    """The base statistics of the text in column ``at``.
+
+    A word counts as repeated if some window of three words that holds it occurs twice or more in the text. Windows
+    are hashed; only where a text has equal hashes, hash and position are packed into one long, sorted, and neighbours
+    compared: n log n in the text's words. The low bits hold the position and take as many bits as the word count
+    needs. Neighbours that look alike are compared word by word; where two are not alike after all, the text's windows
+    are sorted with their words instead, so the count is exact.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_words", words(F.col(text)))
+    t = F.coalesce(F.col(at), F.lit(""))
+    df = df.withColumn("_words", words(F.col(at)))
+    word = lambda i: F.get(F.col("_words"), i.cast("int"))
+    window = lambda i: [word(i), word(i + 1), word(i + 2)]
     windows = F.when(
         F.size("_words") >= 3,
-        F.transform(
-            F.slice(F.col("_words"), F.lit(1), F.size("_words") - 2),
-            lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2)),
-        ),
+        F.transform(F.slice(F.col("_words"), F.lit(1), F.size("_words") - 2), lambda w, i: window_hash([w, word(i + 1), word(i + 2)])),
     ).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_windows", windows).withColumn(
         "_repeats", F.size("_windows") != F.size(F.array_distinct("_windows"))
@@ -95,15 +106,26 @@ def with_base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.transform("_windows", lambda h, i: F.coalesce(h - F.pmod(h, F.col("_unit")) + i, F.lit(0).cast("long")))
     )
     df = df.withColumn("_packed", F.when(F.col("_repeats"), packed))
+    place = lambda x: F.coalesce(F.pmod(x, F.col("_unit")), F.lit(0).cast("long"))
     top = lambda x: F.shiftright(x, 1) - F.pmod(F.shiftright(x, 1), F.expr("_unit div 2"))
-    twice = F.filter(
-        F.col("_packed"),
-        lambda x, i: F.coalesce(top(x) == top(F.get(F.col("_packed"), i - 1)), F.lit(False))
-        | F.coalesce(top(x) == top(F.get(F.col("_packed"), i + 1)), F.lit(False)),
-    )
-    df = df.withColumn(
-        "_at", F.when(F.col("_repeats"), F.sort_array(F.transform(twice, lambda x: F.coalesce(F.pmod(x, F.col("_unit")), F.lit(0).cast("long")))))
+    near = lambda a, k: F.get(F.col(a), k)
+    alike = lambda x, y: F.coalesce(top(x) == top(y), F.lit(False))
+
+    def equal(x: Column, y: Column) -> Column:
+        p, q = place(x), place(y)
+        return alike(x, y) & F.coalesce((word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2)), F.lit(False))
+
+    twice = F.filter(F.col("_packed"), lambda x, i: equal(x, near("_packed", i - 1)) | equal(x, near("_packed", i + 1)))
+    unlike = F.exists(
+        F.transform(F.col("_packed"), lambda x, i: alike(x, near("_packed", i + 1)) & ~equal(x, near("_packed", i + 1))), lambda x: x
     )
+    df = df.withColumn("_unlike", F.when(F.col("_repeats"), unlike).otherwise(F.lit(False)))
+    spelled = F.sort_array(F.transform("_windows", lambda _, i: F.struct(*[w.alias(f"w{k}") for k, w in enumerate(window(i))], i.cast("long").alias("i"))))
+    df = df.withColumn("_spelled", F.when(F.col("_unlike"), spelled))
+    same = lambda x, y: F.coalesce((x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]), F.lit(False))
+    spelled_twice = F.filter(F.col("_spelled"), lambda x, i: same(x, near("_spelled", i - 1)) | same(x, near("_spelled", i + 1)))
+    positions = F.when(F.col("_unlike"), F.transform(spelled_twice, lambda x: x["i"])).otherwise(F.transform(twice, place))
+    df = df.withColumn("_at", F.when(F.col("_repeats"), F.sort_array(positions)))
     covered = F.aggregate(
         F.transform(F.col("_at"), lambda p, i: F.least(F.lit(3).cast("long"), F.get(F.col("_at"), i + 1) - p)),
         F.lit(0).cast("long"),
@@ -119,7 +141,12 @@ def with_base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(F.when(F.col("_repeats"), covered), F.lit(0)).cast("long"),
         }
-    ).drop("_words", "_windows", "_repeats", "_unit", "_packed", "_at", "_lines")
+    ).drop("_words", "_windows", "_repeats", "_unit", "_packed", "_unlike", "_spelled", "_at", "_lines")
+
+
+def with_base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
+    return restored(_statistics(unnamed(df), column_of(df, text)), df.columns, BASE)
 
 
 def apply_quality_rules(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -128,11 +155,19 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: LineRules = Li
     Adds the base statistics, ``base_failed``, ``clean_text`` (lines that passed, joined again), ``n_lines``,
     ``n_bad_lines``, ``retention`` (share of word characters left) and ``kept``.
     """
-    df = with_base_statistics(df, text)
+    return restored(_judged(unnamed(df), column_of(df, text), rules), df.columns, MADE)
+
+
+MADE = [*BASE, "base_failed", "clean_text", "n_lines", "n_bad_lines", "retention", "kept"]
+
+
+def _judged(df: DataFrame, at: str, rules: LineRules) -> DataFrame:
+    columns = df.columns
+    df = _statistics(df, at)
     base_failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
     )
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    lines = F.split(F.coalesce(F.col(at), F.lit("")), "\n")
     df = df.withColumn("base_failed", base_failed)
     df = df.withColumn("_all_lines", lines).withColumn(
         "_good", F.filter(F.col("_all_lines"), lambda x: ~line_fails(x, rules))
@@ -149,25 +184,21 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: LineRules = Li
         "retention",
         F.when(F.col("word_chars") > 0, kept_chars / F.col("word_chars")).otherwise(F.lit(0.0)),
     )
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("retention") >= rules.min_retention)).drop("_all_lines", "_good")
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("retention") >= rules.min_retention))
     # The optimizer moves a filter on a result below the steps it is made of and writes each step out again wherever
     # it is used; it does not move one below the generator that its column comes from.
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_lines", "n_bad_lines", "retention", "kept"]
-    rest = [c for c in df.columns if c not in made]
-    return df.select(*rest, F.explode(F.array(F.struct(*made))).alias("_made")).select(*rest, "_made.*")
+    return df.select(*columns, F.explode(F.array(F.struct(*MADE))).alias("_made")).select(*columns, "_made.*")
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: LineRules = LineRules(), cleaned: bool = False) -> DataFrame:
     """The rows that the rules keep, with the input's columns; if ``cleaned``, the text (and ``n_chars``) without failed lines."""
-    good = df.select(*df.columns, F.struct(*df.columns).alias("_input")).transform(
-        lambda d: apply_quality_rules(d, text, rules)
-    ).where("kept")
-    if not cleaned:
-        return good.select("_input.*")
-    new = {text: F.col("clean_text")}
-    if "n_chars" in df.columns:
-        new["n_chars"] = F.length("clean_text").cast(df.schema["n_chars"].dataType)
-    return good.select(*[new[c].alias(c) if c in new else F.col(f"_input.{c}") for c in df.columns])
+    at = column_of(df, text)
+    good = _judged(unnamed(df), at, rules).where("kept")
+    new = {at: F.col("clean_text")} if cleaned else {}
+    for k, c in enumerate(df.columns):
+        if cleaned and c.lower() == "n_chars":
+            new[f"_c{k}"] = F.length("clean_text").cast(df.schema[k].dataType)
+    return good.select(*[new.get(f"_c{k}", F.col(f"_c{k}")).alias(c) for k, c in enumerate(df.columns)])
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
