@@ -14,7 +14,7 @@ Defined results for odd input
 * null or empty text: all statistics 0, scored like any other row;
 * no labelled row (an empty table, too), or one class only: the score is the smoothed share of label 1;
 * null labels are not learned; repeated rows get the same score; a tie at 0.5 predicts 1;
-* whole texts are measured; input columns of the added names are replaced.
+* whole texts are measured; input columns of the added names, in any case, are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.text import SPACES, held_out, words
+from docframe.llm.text import SPACES, column_of, held_out, restored, unnamed, words
 
 #: Bound of the training sample in documents.
 MAX_TRAINING_DOCS = 20_000
@@ -191,9 +191,8 @@ def fit_quality_model(
     if n > max_training_docs:
         share = F.pmod(F.xxhash64(F.col("_id"), F.lit(3)), F.lit(1 << 40))
         known = known.where(share < int(max_training_docs / n * (1 << 40)))
-    if n <= max_training_docs * 20:  # rows of 16 bytes, at most max_training_docs of them by the line above
-        known = F.broadcast(known)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(known, "_id")
+    # Rows of 16 bytes, about max_training_docs of them by the lines above: always small enough to broadcast.
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(known), "_id")
     rows, names = with_statistics(rows, "_t")
     got = rows.select("_id", "_y", *["_s_" + k for k in names]).toPandas().sort_values("_id")
     return fit_rules(got[["_s_" + k for k in names]].to_numpy(), got["_y"].to_numpy(), names)
@@ -201,9 +200,9 @@ def fit_quality_model(
 
 def with_quality(df: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
     """Add score (double) and predicted (int)."""
-    df, names = with_statistics(df, text)
-    df = df.withColumn("score", model.score())
-    return df.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(*["_s_" + k for k in names])
+    rows, _ = with_statistics(unnamed(df), column_of(df, text))
+    rows = rows.withColumn("score", model.score())
+    return restored(rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), df.columns, ["score", "predicted"])
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
