@@ -13,7 +13,7 @@ Defined results for odd input
 * no labelled training row at all (an empty table, too): every row is ``und`` with score 0;
 * null languages are never learned, and held-out rows neither; null ids count as learnable;
 * ties go to the language that sorts first; repeated rows each get the same answer;
-* whole texts are scored, however long; input columns of the added names are replaced.
+* whole texts are scored, however long; input columns of the added names, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.text import held_out
+from docframe.llm.text import column_of, held_out, restored, unnamed
 from docframe.runtime import ensure_importable
 
 BUCKETS = 1 << 15
@@ -221,9 +221,9 @@ def with_language(df: DataFrame, model: LanguageModel, text: str = "text", fit:
             names, score, fits = shared.value.predict(s.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": score, "fit": fits})
 
-    got = df.withColumn("_lang", run(F.col(text)))
-    keep = [c for c in df.columns if c not in ("lang_pred", "score", fit)]
-    return got.select(*keep, F.col("_lang.lang_pred"), F.col("_lang.score"), *([F.col("_lang.fit").alias(fit)] if fit else []))
+    got = unnamed(df).withColumn("_lang", run(F.col(column_of(df, text))))
+    made = {"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")} | ({fit: F.col("_lang.fit")} if fit else {})
+    return restored(got.select("*", *[c.alias(k) for k, c in made.items()]), df.columns, list(made))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
