@@ -7,13 +7,16 @@ map-side aggregation answers without gathering a group. A bucket that fails (a h
 that also carry a SHA-256 of the canonical text.
 
 Only rows in buckets of two or more are read again for the comparison. Their keys are joined by broadcast up to a
-checked number, by a shuffle beyond it.
+checked number, by a shuffle beyond it. ``reflect`` needs the ICU library (``com.ibm.icu``) that Spark ships.
 
 Defined results for odd input
 -----------------------------
 * null and empty texts, and texts of white space alone, share one fingerprint;
 * repeated rows and ties have equal fingerprints; nulls in other columns do not matter;
-* whole texts are digested; an empty table gives an empty table; an input column ``fingerprint`` is replaced.
+* whole texts are digested; an empty table gives an empty table; an input column ``fingerprint``, in any case, is
+  replaced;
+* in the order of documents (:func:`edited_fingerprints`) rows without an id stand last, and rows that repeat an id are
+  ordered by their text: every row has one that follows it, a single one itself.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.llm.text import column_of, restored, unnamed
 from docframe.runtime import write_stage
 
 #: Bucket keys (16 bytes each) that may be broadcast.
@@ -71,18 +75,16 @@ def _join_collisions(df: DataFrame, bad: DataFrame, n_bad: int, a: str, b: str,
 
 def with_fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     """All rows with ``fingerprint``: 32 hex digits, and a SHA-256 after a colon where a bucket collided."""
-    df = df.drop("fingerprint")
     a, b = wide_hash(F.col("_canon"))
-    hashed = df.withColumn("_canon", canonical(F.col(text))).withColumns({"_a": a, "_b": b})
+    hashed = unnamed(df).withColumn("_canon", canonical(F.col(column_of(df, text)))).withColumns({"_a": a, "_b": b})
     bad = collided_buckets(
         hashed.select("_a", "_b"),
         lambda shared: hashed.select("_a", "_b", "_canon").join(shared, ["_a", "_b"], "left_semi"),
     )
     got = _join_collisions(hashed, bad, bad.count(), "_a", "_b", "_bad")
     exact = F.concat(_hex(F.col("_a"), F.col("_b")), F.lit(":"), F.sha2("_canon", 256))
-    return got.select(
-        *df.columns, F.when(F.col("_bad"), exact).otherwise(_hex(F.col("_a"), F.col("_b"))).alias("fingerprint")
-    )
+    found = F.when(F.col("_bad"), exact).otherwise(_hex(F.col("_a"), F.col("_b")))
+    return restored(got.withColumn("fingerprint", found), df.columns, ["fingerprint"])
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -116,11 +118,26 @@ def edited_text(text: Column, n_chars: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n_chars - half), F.substring(following, F.lit(1), half))
 
 
+def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if not odd.take(1):
+        return _edited(docs)
+    # Numbers in the same order for rows whose ids cannot tell them apart.
+    ordered = docs.orderBy(F.desc_nulls_last("doc_id"), "text").withColumn("_key", -F.monotonically_increasing_id())
+    ordered = write_stage(ordered, "fingerprint-rows")
+    got = _edited(ordered.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
+    return ordered.select("_key", "doc_id").join(got, "_key").drop("_key")
+
+
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Whole ``documents``, each with its edited text and its neighbour; doc_id is the table's key."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    )
+    """Whole ``documents``, each with its edited text and its neighbour."""
+    return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _edited(docs: DataFrame) -> DataFrame:
+    """Fingerprints of documents with ids of their own, none null."""
     # lineage of the order: each document also learns whose text it continues, and how much of it is wanted
     sizes = docs.select("doc_id", F.length("text").alias("n_chars"))
     order = next_ids(docs)
