@@ -13,7 +13,8 @@
    a passage must do so); of these the latest message is the one replied to. A message without a quote that is found
    replies to nothing and starts a thread.
 4. *Order.* Threads follow from the links by pointer doubling (written each round); a conversation is ordered by the
-   thread's first turn, then depth, then turn, so every reply stands after what it answers, without quotes.
+   thread's first turn, then depth, then turn, so every reply stands after what it answers, without quotes. Its
+   messages are sorted and numbered by ranges, so a conversation may span any number of tasks.
 
 Joins are on conversation and hash, so a hot conversation is spread over its hashes; nothing is gathered by
 conversation, and equal quotes ask once. Words are kept, by message, only of conversations with a quote.
@@ -24,7 +25,8 @@ Defined results for odd input
 * null conversation or turn: the message is kept, links to nothing, and has thread and depth of its own;
 * repeated (conversation, turn): each row is kept; links go by turn, so such rows share thread and depth;
 * the same passage in several earlier messages: the latest is meant; a quote of a later message does not count;
-* an empty table gives an empty table; other columns stay, clashing ones are replaced by the results.
+* ties in the order (rows of one conversation and turn) go by text, and null conversations have no positions;
+* an empty table gives an empty table; other columns stay, those named as a result in any case are replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.llm.text import column_of, restored, unnamed
 from docframe.runtime import write_stage
 
 #: Words of the seeds that find where a quote may begin.
@@ -55,25 +58,6 @@ def normalised(text: Column) -> Column:
     return F.btrim(F.lower(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")))
 
 
-def passages(text: Column) -> Column:
-    """array<struct<level int, text string>>: runs of lines of one quote level, in order; blank lines join the run."""
-    lines = F.transform(
-        F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\\r\\n?", "\n"), "\n"),
-        lambda x: F.struct(quote_level(x).alias("level"), unquoted(x).alias("text")),
-    )
-    empty = F.array().cast("array<struct<level:int,text:string>>")
-
-    def step(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (last["level"] == line["level"])
-        joined = F.struct(last["level"].alias("level"), F.concat(last["text"], F.lit("\n"), line["text"]).alias("text"))
-        return F.when(same, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(
-            F.concat(done, F.array(line))
-        )
-
-    return F.aggregate(lines, empty, step)
-
-
 def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``_quotes`` (quoted passages as level and text), ``max_quote_level`` and ``reply_text``.
 
@@ -81,7 +65,17 @@ def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     quoted = t.contains(">") & t.rlike("(?m)^[ \\t]*>")
-    df = df.withColumn("_runs", F.when(quoted, passages(t)))
+    # Lines as structs of level and text, the lines that begin a run of one level, and the runs: each line is copied once.
+    lines = F.transform(
+        F.split(F.regexp_replace(t, "\\r\\n?", "\n"), "\n"), lambda x: F.struct(quote_level(x).alias("level"), unquoted(x).alias("text"))
+    )
+    df = df.withColumn("_lines", F.when(quoted, lines))
+    level = lambda i: F.get(F.col("_lines"), i)["level"]
+    heads = F.filter(F.transform("_lines", lambda _, i: i), lambda i: (i == 0) | (level(i) != level(i - 1)))
+    df = df.withColumn("_heads", heads)
+    stop = lambda k: F.coalesce(F.get(F.col("_heads"), k + 1), F.size("_lines"))
+    body = lambda i, k: F.array_join(F.transform(F.slice(F.col("_lines"), i + 1, stop(k) - i), lambda x: x["text"]), "\n")
+    df = df.withColumn("_runs", F.transform("_heads", lambda i, k: F.struct(level(i).alias("level"), body(i, k).alias("text"))))
     runs = F.col("_runs")
     own = F.filter(runs, lambda r: r["level"] == 0)
     deeper_next = lambda r, i: F.coalesce(F.get(runs, i + 1)["level"] > r["level"], F.lit(False))
@@ -99,7 +93,7 @@ def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
             "max_quote_level": F.when(quoted, F.array_max(F.transform(runs, lambda r: r["level"]))).otherwise(F.lit(0)).cast("int"),
             "reply_text": reply,
         }
-    ).drop("_runs", "_trimmed")
+    ).drop("_lines", "_heads", "_runs", "_trimmed")
 
 
 def _without_attribution(text: Column) -> Column:
@@ -202,21 +196,43 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
 
     Ordering a conversation by (thread, depth, turn) puts each reply after what it answers.
     """
-    made = ["reply_text", "reply_to", "thread", "depth", "n_quotes", "max_quote_level"]
-    df = df.select(*[c for c in df.columns if c not in made or c in (conv, turn, text)])
+    return restored(_formatted(unnamed(df), *[column_of(df, c) for c in (conv, turn, text)]), df.columns, MADE)
+
+
+MADE = ["reply_text", "reply_to", "thread", "depth", "n_quotes", "max_quote_level"]
+
+
+def _formatted(df: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
     links = write_stage(link_replies(df, conv, turn, text), "chat-links")
     threads = links.join(thread_links(links, conv, turn), [conv, turn])
     small = F.broadcast(threads) if threads.count() <= 200_000 else threads
     got = with_parts(df, text).drop("_quotes").join(small, [conv, turn], "left")
-    return got.select(
-        *df.columns, "reply_text", "reply_to", F.coalesce("thread", F.col(turn)).alias("thread"),
-        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quotes", "max_quote_level",
-    )
+    return got.withColumns({"thread": F.coalesce("thread", F.col(turn)), "depth": F.coalesce("depth", F.lit(0)).cast("long")})
+
+
+def build_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """All messages as :func:`format_conversations` has them, with their ``position`` (from 0) in their conversation,
+    in reply order.
+
+    Messages are sorted by ranges of (conversation, order); only conversations that go over the edge of a range, two
+    for each range at most, are looked up to number on.
+    """
+    conv_, turn_, text_ = (column_of(df, c) for c in (conv, turn, text))
+    order = [F.col(c) for c in ("thread", "depth", turn_, text_)]
+    got = _formatted(unnamed(df), conv_, turn_, text_)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = write_stage(got.repartitionByRange(parts, F.col(conv_), *order).withColumn("_part", F.spark_partition_id()), "chat-ordered")
+    own = got.where(F.col(conv_).isNotNull()).groupBy(conv_, "_part").agg(F.count("*").alias("_n"))
+    over = own.groupBy(conv_).agg(F.count("*").alias("_parts")).where("_parts > 1").select(conv_)
+    earlier = Window.partitionBy(conv_).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = own.join(F.broadcast(over), conv_, "left_semi").select(conv_, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begun"))
+    here = F.row_number().over(Window.partitionBy("_part", conv_).orderBy(*order)) - 1
+    got = got.withColumn("_here", here).join(F.broadcast(begun), [conv_, "_part"], "left")
+    position = F.when(F.col(conv_).isNotNull(), F.col("_here") + F.coalesce("_begun", F.lit(0))).cast("long")
+    return restored(got.withColumn("position", position), df.columns, [*MADE, "position"])
 
 
 def op4_chat_formatting(spark, sf_dir: str) -> DataFrame:
     """Whole ``conversations``."""
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return format_conversations(chats).select(
-        "conv_id", "turn", "role", "reply_text", "reply_to", "thread", "depth", "n_quotes", "max_quote_level"
-    )
+    return build_conversations(chats).select("conv_id", "turn", "role", *MADE, "position")
