@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from corpus_pipeline import run as run_pipeline
-
 from docframe.llm.bpe_chunks import op9_bpe
 from docframe.llm.chat_formatting import op4_chat_formatting
 from docframe.llm.fingerprints import op8_fingerprints
@@ -26,7 +24,6 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
-    "pipeline": run_pipeline,
 }
 
 _PHRASES = "|".join(BOILERPLATE)
