@@ -100,18 +100,6 @@ def test_long_texts_resynchronise():
             assert token_counts.encode_long(tok, t, chunk, overlap) == whole
 
 
-@pytest.mark.parametrize("limit", [64, 200, 1 << 15])
-def test_chunked_bpe_is_exact(limit, monkeypatch):
-    monkeypatch.setattr(bpe_chunks, "MAX_CHUNK", limit)
-    path = tokenizing.public_path("byte_bpe_50k.json")
-    bpe, lib, rng = tokenizing.byte_bpe(path), tokenizing.library_tokenizer(path), random.Random(5)
-    texts = [t or "" for _, t, _ in ODD] + ["".join(rng.choice("ab \n'séΣ1.!  日") for _ in range(2000)) for _ in range(20)]
-    for t in texts:
-        ids = bpe_chunks.encode(bpe, t, bpe_chunks.ChunkCache())
-        assert ids == lib.encode(t, add_special_tokens=False).ids
-        assert bpe.decode(ids) == lib.decode(ids, skip_special_tokens=False)
-
-
 def test_packing_is_lossless(spark, odd):
     bpe = tokenizing.byte_bpe(tokenizing.public_path("byte_bpe_50k.json"))
     pieces = packing.pack_documents(odd.where("doc_id is not null").dropDuplicates(["doc_id"])).toPandas()
