@@ -109,17 +109,17 @@ def _statistics(df: DataFrame, at: str) -> DataFrame:
     place = lambda x: F.coalesce(F.pmod(x, F.col("_unit")), F.lit(0).cast("long"))
     top = lambda x: F.shiftright(x, 1) - F.pmod(F.shiftright(x, 1), F.expr("_unit div 2"))
     near = lambda a, k: F.get(F.col(a), k)
-    alike = lambda x, y: F.coalesce(top(x) == top(y), F.lit(False))
 
-    def equal(x: Column, y: Column) -> Column:
+    def meets(x: Column, y: Column) -> Column:
+        """Of two neighbours: 0 if they do not look alike, 1 if they are equal, 2 if they only look so."""
         p, q = place(x), place(y)
-        return alike(x, y) & F.coalesce((word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2)), F.lit(False))
+        equal = (word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2))
+        return F.when(top(x) == top(y), F.when(equal, 1).otherwise(2)).otherwise(0)
 
-    twice = F.filter(F.col("_packed"), lambda x, i: equal(x, near("_packed", i - 1)) | equal(x, near("_packed", i + 1)))
-    unlike = F.exists(
-        F.transform(F.col("_packed"), lambda x, i: alike(x, near("_packed", i + 1)) & ~equal(x, near("_packed", i + 1))), lambda x: x
-    )
-    df = df.withColumn("_unlike", F.when(F.col("_repeats"), unlike).otherwise(F.lit(False)))
+    df = df.withColumn("_met", F.transform(F.col("_packed"), lambda x, i: meets(x, near("_packed", i + 1))))
+    met = lambda i: F.coalesce(near("_met", i) == 1, F.lit(False))
+    twice = F.filter(F.col("_packed"), lambda x, i: met(i) | met(i - 1))
+    df = df.withColumn("_unlike", F.coalesce(F.array_contains("_met", 2), F.lit(False)))
     spelled = F.sort_array(F.transform("_windows", lambda _, i: F.struct(*[w.alias(f"w{k}") for k, w in enumerate(window(i))], i.cast("long").alias("i"))))
     df = df.withColumn("_spelled", F.when(F.col("_unlike"), spelled))
     same = lambda x, y: F.coalesce((x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]), F.lit(False))
@@ -141,7 +141,7 @@ def _statistics(df: DataFrame, at: str) -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(F.when(F.col("_repeats"), covered), F.lit(0)).cast("long"),
         }
-    ).drop("_words", "_windows", "_repeats", "_unit", "_packed", "_unlike", "_spelled", "_at", "_lines")
+    ).drop("_words", "_windows", "_repeats", "_unit", "_packed", "_met", "_unlike", "_spelled", "_at", "_lines")
 
 
 def with_base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
