@@ -1,7 +1,8 @@
 """Token counts, exact for texts of any length, by overlap resynchronisation.
 
-Texts up to ``chunk_chars`` are encoded whole in batches. A longer text is encoded as overlapping chunks with
-offsets: two neighbouring chunks are spliced at a boundary that both encodings have and that is proven stable,
+Texts up to ``chunk_chars`` are small: no token of this tokenizer holds white space, so their blank-separated words are
+counted one by one, each distinct one by the library once for as long as a bounded memory of words holds it. A longer
+text is encoded as overlapping chunks with offsets: two neighbouring chunks are spliced at a boundary that both encodings have and that is proven stable,
 which means that no token can reach across it whatever stands further left or right:
 
 * both chunks have tokens that begin at exactly that character, and
@@ -39,13 +40,17 @@ from docframe.llm.text import column_of, restored, unnamed
 from docframe.llm.tokenizing import library_tokenizer, public_path
 from docframe.runtime import ensure_importable
 
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 1 << 10
 #: Tokens that must agree on either side of a splice.
 AGREE = 4
 #: Fixed value: the words of a tokenizer whose words hold no white space.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BLANK = re.compile(r"\s\S")
+#: Words that are remembered in a worker (twice as many at most), and bytes of the longest of them.
+MEMORY, WORD_BYTES = 150_000, 48
+#: Marks that are a word of their own after a letter or a digit, with nothing behind them.
+_TAIL = b".,;:!?)]"
 
 
 def _stable(text: str, at: int) -> bool:
@@ -81,6 +86,8 @@ def parts_at_blanks(path: str) -> bool:
     normalizer, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
     splits = pre.get("pretokenizers", [pre] if pre else [])
+    if spec.get("post_processor") is not None or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", [])):
+        return False
     local = all(x.get("type") in ("NFC", "Lowercase") or x.get("type") == "Replace" and x["pattern"].get("Regex") == r"\s+" for x in steps)
     first = splits[0] if splits else {}
     apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
@@ -115,19 +122,68 @@ def encode_long(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP
     return ids + [t[2] for t in tokens]
 
 
+class _Memory:
+    """Tokens by word; what was not asked for since half of it was filled is forgotten."""
+
+    def __init__(self, tok):
+        self.tok, self.young, self.old = tok, {}, {}
+        self.marks = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+
+    def add(self, words: set[bytes]) -> dict[bytes, int]:
+        """Remember the words; those that are too long for that are given back with their counts."""
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in words:
+            core = w.rstrip(_TAIL)
+            if len(core) < len(w) and core[-1:].isalnum():
+                parts[w] = (core, w[len(core) :])
+        ask = {p for pair in parts.values() for p in pair} | (words - parts.keys())
+        ask = [p for p in ask if p not in self.young and p not in self.old]
+        found = {}
+        for at in range(0, len(ask), 4096):
+            some = ask[at : at + 4096]
+            made = self.tok.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
+            found.update(zip(some, map(len, made)))
+        get = lambda p: found[p] if p in found else self.young[p] if p in self.young else self.old[p]
+        every = {w: get(parts[w][0]) + get(parts[w][1]) if w in parts else get(w) for w in words}
+        self.young.update((w, n) for w, n in (found | every).items() if len(w) <= WORD_BYTES)
+        return {w: n for w, n in every.items() if len(w) > WORD_BYTES}
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text as the sum over its words; only words that are not remembered go to the library."""
+        if len(self.young) > MEMORY:
+            self.old, self.young = self.young, {}
+        split = []
+        for t in texts:
+            data = t.encode("utf-8")
+            # Bytes are split at ASCII white space alone, and only ASCII letters are made small: as the normaliser does,
+            # which leaves the strings of added tokens alone.
+            split.append((data if any(m in data.lower() for m in self.marks) else data.lower()).split())
+        young, old = self.young, self.old
+        new = {w for own in split for w in own if w not in young}
+        young.update((w, old[w]) for w in new if w in old)
+        long = self.add({w for w in new if w not in young})
+        return [sum([young[w] if w in young else long[w] for w in own]) for own in split]
+
+
+_MEMORIES: dict[str, _Memory] = {}
+
+
 def count_tokens(texts: list[str], path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
-    """Token count of each text; short ones in one library call, long ones by chunks."""
+    """Token count of each text; short ones by words, long ones by chunks, or all whole if blanks do not part words."""
     tok = library_tokenizer(path)
+    if not parts_at_blanks(path):
+        return [len(tok.encode(t, add_special_tokens=False)) for t in texts]
     counts = [0] * len(texts)
     short = [k for k, t in enumerate(texts) if len(t) <= chunk]
     for at in range(0, len(short), 256):
         some = short[at : at + 256]
-        for k, e in zip(some, tok.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)):
-            counts[k] = len(e)
-    spliced = parts_at_blanks(path)
+        if path not in _MEMORIES:
+            _MEMORIES[path] = _Memory(tok)
+        for k, n in zip(some, _MEMORIES[path].counts([texts[k] for k in some])):
+            counts[k] = n
     for k, t in enumerate(texts):
         if len(t) > chunk:
-            counts[k] = len(encode_long(tok, t, chunk, overlap) if spliced else tok.encode(t, add_special_tokens=False))
+            counts[k] = len(encode_long(tok, t, chunk, overlap))
     return counts
 
 
