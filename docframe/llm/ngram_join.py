@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.components import connected_components
+from docframe.llm.text import column_of, restored, unnamed
 from docframe.runtime import ensure_importable, write_stage
 
 N = 5
@@ -563,16 +564,17 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     """One row of each component: the one with the smallest id. Rows without an id stay; of rows that repeat an id,
     one stays."""
     found = write_stage(jaccard_components(df, doc_id, text, n, percent), "ngram-components")
+    rows, key = unnamed(df), column_of(df, doc_id)
     ids = F.col("doc_id").alias("_id")
     gone = found.where("doc_id <> component_id").select(ids).distinct()
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(ids)
     n_gone, n_twice = gone.count(), twice.count()
-    same = df[doc_id].cast("bigint") == F.col("_id")
-    kept = df.join(_small(gone, n_gone), same, "left_anti")
+    same = F.col(key).cast("bigint") == F.col("_id")
+    kept = rows.join(_small(gone, n_gone), same, "left_anti")
     if n_twice:
-        once = kept.join(_small(twice, n_twice), same, "left_semi").dropDuplicates([doc_id])
+        once = kept.join(_small(twice, n_twice), same, "left_semi").dropDuplicates([key])
         kept = kept.join(_small(twice, n_twice), same, "left_anti").unionByName(once)
-    return kept
+    return restored(kept, df.columns, [])
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
