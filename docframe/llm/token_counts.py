@@ -57,24 +57,47 @@ def _stable(text: str, at: int) -> bool:
     return 0 < at < len(text) and text[at - 1].isspace() and not text[at].isspace()
 
 
-def _tokens(tok, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-    """(first character in the whole text, one past its last, id) of each token of one chunk."""
-    e = tok.encode(text[start:end], add_special_tokens=False)
-    return [(start + a, start + b, i) for (a, b), i in zip(e.offsets, e.ids)]
-
-
-def _splice(text: str, left: list, right: list) -> tuple[int, int] | None:
-    """Indexes (in left, in right) of a token from which on the right chunk goes on, or None."""
-    if not left or not right:
-        return None
-    where = {t[0]: k for k, t in reversed(list(enumerate(right)))}
-    for k in range(len(left) - AGREE, AGREE - 1, -1):
-        at = left[k][0]
-        j = where.get(at)
-        if j is None or j < AGREE or not _stable(text, at) or left[k - 1][1] > at:
+class _Part:
+    """One encoded chunk of a text; offsets are asked of the library where they are needed only."""
+
+    def __init__(self, tok, text: str, start: int, end: int):
+        self.start, self.tokens = start, tok.encode(text[start:end], add_special_tokens=False)
+        self._ids: list[int] | None = None
+
+    @property
+    def ids(self) -> list[int]:
+        if self._ids is None:
+            self._ids = self.tokens.ids
+        return self._ids
+
+    def begins(self, at: int) -> int | None:
+        """The token that begins at exactly this character of the text."""
+        k = self.tokens.char_to_token(at - self.start)
+        return k if k is not None and self.tokens.token_to_chars(k)[0] == at - self.start else None
+
+    def around(self, k: int) -> list[tuple[int, int, int]] | None:
+        """Offsets and ids of the tokens on either side of the start of token ``k``; None if there are too few."""
+        e = self.tokens
+        if k < AGREE or k + AGREE > len(e):
+            return None
+        spans = [e.token_to_chars(j) for j in range(k - AGREE, k + AGREE)]
+        if spans[AGREE - 1][1] > spans[AGREE][0]:  # the token before reaches across
+            return None
+        return [(self.start + a, self.start + b) for a, b in spans]
+
+
+def _splice(text: str, left: _Part, right: _Part, end: int) -> tuple[int, int, int] | None:
+    """A stable boundary that both have: (character, token of the left chunk, token of the right one), or None."""
+    for m in reversed(list(_BLANK.finditer(text, right.start, end))):
+        at = m.start() + 1
+        k, j = left.begins(at), right.begins(at)
+        if k is None or j is None or not _stable(text, at):
             continue
-        if left[k - AGREE : k + AGREE] == right[j - AGREE : j + AGREE]:
-            return k, j
+        spans = left.around(k)
+        if spans is None or spans != right.around(j):
+            continue
+        if left.ids[k - AGREE : k + AGREE] == right.ids[j - AGREE : j + AGREE]:
+            return at, k, j
     return None
 
 
@@ -94,32 +117,36 @@ def parts_at_blanks(path: str) -> bool:
     return local and apart and first["pattern"].get("Regex") == WORDS
 
 
-def encode_long(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
-    """The ids of ``tok.encode(text)``, from chunks."""
-    for special in (t.content for t in tok.get_added_tokens_decoder().values()):
-        if special in text:  # may hold white space or match across any cut: no boundary is provably stable
-            return tok.encode(text, add_special_tokens=False).ids
-    ids: list[int] = []
+def spliced(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[tuple[_Part, int, int]]:
+    """Chunks of a text with the first and one past the last of their tokens that count."""
     start, end, step = 0, min(len(text), chunk), chunk
-    tokens = _tokens(tok, text, start, end)
+    if any(t.content in text for t in tok.get_added_tokens_decoder().values()):
+        end = len(text)  # may hold white space or match across any cut: no boundary is provably stable
+    part, first = _Part(tok, text, start, end), 0
     while end < len(text):
         width = overlap
         while True:
             begin = max(start, end - width)
             stop = min(len(text), end + step)
             if begin == start:  # no stable boundary in the whole left chunk: both become one
-                end, tokens, step = stop, _tokens(tok, text, start, stop), 2 * (stop - start)
+                end, part, first, step = stop, _Part(tok, text, start, stop), 0, 2 * (stop - start)
                 break
             found = None
             if _BLANK.search(text, begin, end):
-                right = _tokens(tok, text, begin, stop)
-                found = _splice(text, tokens, right)
+                right = _Part(tok, text, begin, stop)
+                found = _splice(text, part, right, end)
             if found:
-                ids += [t[2] for t in tokens[: found[0]]]
-                start, end, tokens, step = right[found[1]][0], stop, right[found[1] :], chunk
+                yield part, first, found[1]
+                # What is left of the right chunk before its boundary has been counted with the left one.
+                start, first, end, part, step = found[0], found[2], stop, right, chunk
                 break
             width *= 4
-    return ids + [t[2] for t in tokens]
+    yield part, first, len(part.tokens)
+
+
+def encode_long(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
+    """The ids of ``tok.encode(text)``, from chunks."""
+    return [i for part, a, b in spliced(tok, text, chunk, overlap) for i in part.ids[a:b]]
 
 
 class _Memory:
@@ -183,7 +210,7 @@ def count_tokens(texts: list[str], path: str, chunk: int = CHUNK_CHARS, overlap:
             counts[k] = n
     for k, t in enumerate(texts):
         if len(t) > chunk:
-            counts[k] = len(encode_long(tok, t, chunk, overlap))
+            counts[k] = sum(b - a for _, a, b in spliced(tok, t, chunk, overlap))
     return counts
 
 
