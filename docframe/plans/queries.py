@@ -385,3 +385,45 @@ def q36_document_model(spark, d):
     m = document_model(write_stage(_events(s, "s_suppkey", body), "events"))
     first = F.col("model.blocks")[0]["runs"][0]
     return m.select(F.col("doc_id").cast("bigint").alias("s_suppkey"), first["text"].alias("text"), F.size("model.blocks").alias("n_blocks"), first["style"]["bold"].alias("bold"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k, CAST(10 + CAST(max(l_quantity) AS INTEGER) % 30 AS DOUBLE) AS h FROM lineitem GROUP BY l_orderkey, l_linenumber),
+p AS (SELECT l_orderkey, k, 0 AS page, CAST(0 AS DOUBLE) AS y, h FROM l WHERE k = 1 UNION ALL
+SELECT l.l_orderkey, l.k, CASE WHEN p.y + p.h + l.h > 60.001 THEN p.page + 1 ELSE p.page END, CASE WHEN p.y + p.h + l.h > 60.001 THEN 0.0 ELSE p.y + p.h END, l.h FROM p JOIN l ON l.l_orderkey = p.l_orderkey AND l.k = p.k + 1)
+SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(k - 1 AS BIGINT) AS line, CAST(page AS INTEGER) AS page, y FROM p""")
+def q20_variable_pagination(spark, d):
+    own = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_quantity").cast("int") % 30 + 10).alias("h"))
+    para = F.concat(F.lit("\\pard\\sl-"), (F.col("h") * 20).cast("string"), F.lit(" x\\par "))
+    one = own.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", para.alias("x")))), lambda r: r["x"]), "").alias("body"))
+    p = R.paragraphs(_events(one, "l_orderkey", F.col("body"), {"para"}))
+    lines = p.select("doc_id", "para_seq", F.col("line_spacing.value").alias("height"), F.lit(0.0).alias("before"))
+    return Y.paginate(lines, 60.0, ["para_seq"]).select(F.col("doc_id").cast("bigint").alias("l_orderkey"), F.col("para_seq").cast("bigint").alias("line"), "page", "y")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(k AS BIGINT) AS item, CASE WHEN k < 2 THEN '•' ELSE CAST(c_custkey % 7 + k - 1 AS VARCHAR) || ')' END AS marker FROM customer, range(4) t(k)")
+def q37_bullets(spark, d):
+    c = table(spark, d, "customer")
+    body = F.concat(
+        F.lit("{\\*\\listtable{\\list{\\listlevel\\levelnfc23{\\leveltext\\'01\\u8226 ?;}{\\levelnumbers;}}\\listid1}{\\list{\\listlevel\\levelnfc0\\levelstartat"), (F.col("c_custkey") % 7 + 1).cast("string"),
+        F.lit("{\\leveltext\\'02\\'00);}{\\levelnumbers\\'01;}}\\listid2}}{\\*\\listoverridetable{\\listoverride\\listid1\\ls1}{\\listoverride\\listid2\\ls2}}\\pard\\ls1 0\\par 1\\par\\ls2 2\\par 3\\par"),
+    )
+    e = _events(c, "c_custkey", body, keep=True)
+    return L.markers(e).join(R.paragraph_texts(e), ["doc_id", "para_seq"]).select(
+        F.col("doc_id").cast("bigint").alias("c_custkey"), F.col("text").cast("bigint").alias("item"), "marker"
+    )
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, t.text AS text, CASE WHEN t.text = 'a' THEN 12.0 ELSE (p_size + 100) / 2.0 END AS font_size, t.text = 'c' AS bold FROM part, (VALUES ('a'), ('b'), ('c')) t(text)")
+def q38_default_styles(spark, d):
+    p = table(spark, d, "part")
+    body = F.concat(F.lit("{\\*\\defchp\\fs"), (F.col("p_size") + 100).cast("string"), F.lit("}{\\*\\defpap\\li40}a\\plain b{\\b c}\\par"))
+    r = R.runs(_events(p, "p_partkey", body, {"run"}))
+    return r.select(F.col("doc_id").cast("bigint").alias("p_partkey"), "text", "font_size", F.col("style.bold").alias("bold"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey % 3 + 1 AS BIGINT) AS n_breaks FROM orders")
+def q39_scoped_sections(spark, d):
+    o = table(spark, d, "orders")
+    body = F.concat(F.lit("{\\sbknone a\\sect b\\sect}c\\sect"), F.expr("repeat(' d\\\\sect', cast(o_custkey % 3 as int))"), F.lit(" e\\par"))
+    e = _events(o, "o_orderkey", body, {"pagebreak"})
+    return e.where("etype = 'pagebreak'").groupBy(F.col("doc_id").cast("bigint").alias("o_orderkey")).agg(F.count("*").alias("n_breaks"))
