@@ -41,11 +41,11 @@ MESSAGES = {
 
 ITEM = (
     "struct<text:string,image_id:string,width:double,height:double,family:string,line_box:double,font:string,font_size:double,"
-    "shift:double,color:string,highlight:string,underline:boolean,strike:boolean>"
+    "shift:double,color:string,highlight:string,underline:boolean,strike:boolean,shown:boolean>"
 )
 FRAGMENT = (
     "struct<text:string,image_id:string,x:double,y:double,width:double,height:double,baseline:double,font:string,font_size:double,"
-    "color:string,highlight:string,underline:boolean,strike:boolean>"
+    "color:string,highlight:string,underline:boolean,strike:boolean,shown:boolean>"
 )
 BROKEN = f"struct<codes:array<string>,heights:array<double>,lines:array<struct<x:double,width:double,fragments:array<{FRAGMENT}>>>>"
 PLACED = (
@@ -68,6 +68,37 @@ class Layout:
     errors: DataFrame
 
 
+@dataclass(frozen=True)
+class Parts:
+    """What a layout takes of documents, from events or from stored models.
+
+    ``paragraphs`` has (doc_id, block, para_seq, p, r, marker, follow, _own) without hidden runs, ``places`` the island
+    of each paragraph in a table, ``breaks`` the blocks that turn the page.
+    """
+
+    documents: DataFrame
+    fonts: DataFrame
+    colors: DataFrame
+    images: DataFrame
+    rows: DataFrame
+    cells: DataFrame
+    paragraphs: DataFrame
+    places: DataFrame
+    breaks: DataFrame
+    diagnostics: DataFrame
+
+
+def parts_of_events(events: DataFrame) -> Parts:
+    """Parts of parsed documents; events that were written, as they are read several times."""
+    numbered = L.markers(events).select("doc_id", "para_seq", "marker", "follow", F.struct("left_indent", "first_line_indent").alias("_own"))
+    return Parts(
+        R.documents(events), R.fonts(events), R.colors(events), R.images(events), C.rows(events), C.cells(events).drop("text"),
+        R.paragraph_runs(events, keep_hidden=False).join(numbered, ["doc_id", "para_seq"], "left"),
+        C.cell_paragraphs(events).select("doc_id", "block", "para_seq", "island"),
+        events.where("etype = 'pagebreak'").select("doc_id", "block"), R.diagnostics(events),
+    )
+
+
 class Setter:
     """Breaks one paragraph into lines with the faces of its families."""
 
@@ -190,7 +221,7 @@ class Setter:
         blanks = [it["image_id"] is None and not text.strip(" ") for text, _, it in line]
         extra = slack / sum(blanks) if p["align"] == "justify" and not last and any(blanks) else 0.0
         base, start = up + (height - natural) / 2, x
-        keep = ("image_id", "font", "font_size", "color", "highlight", "underline", "strike")
+        keep = ("image_id", "font", "font_size", "color", "highlight", "underline", "strike", "shown")
         fragments = []
         for (text, w, it), blank in zip(line, blanks):
             w += extra if blank else 0.0
@@ -203,16 +234,17 @@ class Setter:
         return height
 
 
-def _dims(events: DataFrame, fonts: DataFrame) -> DataFrame:
+def _dims(parts: Parts, fonts: DataFrame) -> DataFrame:
     """One row for each document: page, maps of fonts, colours and picture sizes (bounded by the scan), its error."""
     as_map = lambda *c: F.map_from_entries(F.collect_list(F.struct(*c)))
     f = fonts.groupBy("doc_id").agg(as_map("id", F.struct("family", "line_box")).alias("fonts"))
-    c = R.colors(events).groupBy("doc_id").agg(as_map("idx", "rgb").alias("colors"))
-    shown = P.admission(P.with_display_size(P.with_pixels(R.images(events)))).drop("data", "raster")
-    i = shown.groupBy("doc_id").agg(
-        as_map("image_id", F.struct("display_width", "display_height")).alias("images"), F.min_by("refused", F.when(F.col("refused").isNotNull(), F.col("image_seq"))).alias("refused")
+    c = parts.colors.groupBy("doc_id").agg(as_map("idx", "rgb").alias("colors"))
+    probed = P.with_display_size(P.with_pixels(parts.images))
+    probed = probed.withColumn("shown", F.col("format").isin("png", "jpeg") | F.col("raster").isNotNull())
+    i = P.admission(probed).drop("data", "raster").groupBy("doc_id").agg(
+        as_map("image_id", F.struct("display_width", "display_height", "shown")).alias("images"), F.min_by("refused", F.when(F.col("refused").isNotNull(), F.col("image_seq"))).alias("refused")
     )
-    d = R.documents(events).join(f, "doc_id", "left").join(c, "doc_id", "left").join(i, "doc_id", "left")
+    d = parts.documents.join(f, "doc_id", "left").join(c, "doc_id", "left").join(i, "doc_id", "left")
     page = lambda k: F.col(f"page.{k}")
     sides = [page(k) for k in ("marginLeft", "marginRight", "marginTop", "marginBottom")]
     good = (page("width") > 0) & (page("width") <= MAX_PAPER) & (page("height") > 0) & (page("height") <= MAX_PAPER)
@@ -237,13 +269,14 @@ def _item(text: Column, style: Column, image: Column, fallback: str | None) -> C
         F.when(image.isNull(), F.coalesce(style["shift"], F.lit(0.0))).otherwise(0.0).alias("shift"),
         F.coalesce(hue(style["color"]), F.lit("#000000")).alias("color"), hue(style["highlight"]).alias("highlight"),
         F.coalesce(style["underline"], F.lit(False)).alias("underline"), F.coalesce(style["strike"], F.lit(False)).alias("strike"),
+        F.coalesce(picture["shown"], F.lit(False)).alias("shown"),
     )
 
 
-def _tables(events: DataFrame, dims: DataFrame) -> DataFrame:
+def _tables(parts: Parts, dims: DataFrame) -> DataFrame:
     """Cells with their place in the page's content, borders with colours, fill, and the row they belong to."""
-    r = C.rows(events).select("doc_id", "block", F.col("left").alias("row_left"), "height_kind", F.col("height").alias("row_height"), "align")
-    cells = C.cells(events).drop("text")
+    r = parts.rows.select("doc_id", "block", F.col("left").alias("row_left"), "height_kind", F.col("height").alias("row_height"), "align")
+    cells = parts.cells
     ends = cells.groupBy("doc_id", "block").agg(F.max("right").alias("_far"), F.array_sort(F.collect_list("right")).alias("_rights"))
     got = cells.join(ends, ["doc_id", "block"]).join(r, ["doc_id", "block"]).join(dims.where("error is null").select("doc_id", "page", "colors"), "doc_id")
     content = F.col("page.width") - F.col("page.marginLeft") - F.col("page.marginRight")
@@ -264,17 +297,15 @@ def _tables(events: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def broken_paragraphs(
-    events: DataFrame, dims: DataFrame, tables: DataFrame, faces: dict[str, Face], default: Face, fallback: str | None = None
+    parts: Parts, dims: DataFrame, tables: DataFrame, faces: dict[str, Face], default: Face, fallback: str | None = None
 ) -> DataFrame:
     """Paragraphs with ``broken`` lines and their place (block, cell_idx, para_seq), without those of documents in error."""
-    ensure_importable(events.sparkSession)
-    whole = R.paragraph_runs(events, keep_hidden=False)
-    numbered = L.markers(events).select("doc_id", "para_seq", "marker", "follow", F.struct("left_indent", "first_line_indent").alias("_own"))
-    in_cells = C.cell_paragraphs(events).select("doc_id", "block", "para_seq", "island").join(
+    ensure_importable(dims.sparkSession)
+    in_cells = parts.places.join(
         tables.select("doc_id", "block", "island", "cell_idx", "width", "padding"), ["doc_id", "block", "island"]
     )
     whole = (
-        whole.join(dims.where("error is null"), "doc_id").join(numbered, ["doc_id", "para_seq"], "left")
+        parts.paragraphs.join(dims.where("error is null"), "doc_id")
         .join(in_cells.select("doc_id", "para_seq", "cell_idx", "width", "padding"), ["doc_id", "para_seq"], "left")
         .join(tables.select("doc_id", "block").distinct().withColumn("_row", F.lit(True)), ["doc_id", "block"], "left")
         .where("cell_idx is not null or _row is null")  # a row without any accepted boundary is body text
@@ -485,19 +516,27 @@ def lay_out(
     ``faces`` gives what families measure (by name, any case) and ``default`` what all others do; ``fonts`` maps names
     of the documents to families, ``line_heights`` declares line boxes in ems by the documents' names.
     """
+    parts = parts_of_events(write_stage(events, "events"))
+    return lay_out_parts(parts, faces, default, fonts, line_heights, fallback, max_pages)
+
+
+def lay_out_parts(
+    parts: Parts, faces: dict[str, Face] | None = None, default: Face = Face(), fonts: dict[str, str] | None = None,
+    line_heights: dict[str, float] | None = None, fallback: str | None = None, max_pages: int = 2000,
+) -> Layout:
+    """The same from parts, wherever they come from."""
     if not 1 <= max_pages <= 2000:
         raise ValueError("max_pages must be from 1 to 2000")
-    events = write_stage(events, "events")
-    dims = write_stage(_dims(events, resolve_fonts(R.fonts(events), fonts, line_heights, fallback)), "dims")
-    tables = _tables(events, dims)
-    paras = write_stage(broken_paragraphs(events, dims, tables, faces or {}, default, fallback), "lines")
+    dims = write_stage(_dims(parts, resolve_fonts(parts.fonts, fonts, line_heights, fallback)), "dims")
+    tables = _tables(parts, dims)
+    paras = write_stage(broken_paragraphs(parts, dims, tables, faces or {}, default, fallback), "lines")
 
     cell = F.struct("cell_idx", "x", "width", "padding", "vertical_align", "height_kind", "row_height")
     rows = tables.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(cell), lambda a, b: a["cell_idx"] - b["cell_idx"]).alias("cells"))
     good = dims.where("error is null")
     units = good.select("doc_id", F.lit("doc").alias("kind"), F.lit(-1).alias("block"), F.lit(0).alias("ord"), "page")
     for df in (
-        events.where("etype = 'pagebreak'").join(good, "doc_id", "left_semi").select("doc_id", F.lit("break").alias("kind"), "block", F.lit(0).alias("ord")),
+        parts.breaks.join(good, "doc_id", "left_semi").select("doc_id", F.lit("break").alias("kind"), "block", F.lit(0).alias("ord")),
         rows.select("doc_id", F.lit("row").alias("kind"), "block", F.lit(0).alias("ord"), "cells"),
         paras.select(
             "doc_id", F.lit("para").alias("kind"), "block", F.lit(1).alias("ord"), "cell_idx", "para_seq", "before", "after", "breaks", "complex",
@@ -511,9 +550,11 @@ def lay_out(
     texts = paras.select("doc_id", "para_seq", F.posexplode("broken.lines").alias("para_line", "l"))
     joined = lines.join(texts, ["doc_id", "para_seq", "para_line"])
     lines = joined.select("doc_id", "page", "line", "block", "cell_idx", "para_seq", (F.col("_x") + F.col("l.x")).alias("x"), "y", F.col("l.width").alias("width"), "height")
+    glyphs = F.col("f.image_id").isNull()  # a picture has a place, but no style
     pieces = joined.select("doc_id", "page", "line", "block", F.col("_x"), F.col("y").alias("_y"), F.posexplode("l.fragments").alias("piece", "f")).select(
         "doc_id", "page", "line", "block", "piece", "f.text", "f.image_id", (F.col("_x") + F.col("f.x")).alias("x"), (F.col("_y") + F.col("f.y")).alias("y"),
-        "f.width", "f.height", (F.col("_y") + F.col("f.baseline")).alias("baseline"), "f.font", "f.font_size", "f.color", "f.highlight", "f.underline", "f.strike",
+        "f.width", "f.height", (F.col("_y") + F.col("f.baseline")).alias("baseline"), *[F.when(glyphs, F.col(f"f.{c}")).alias(c) for c in ("font", "font_size", "color", "highlight")],
+        *[(glyphs & F.col(f"f.{c}")).alias(c) for c in ("underline", "strike")], "f.shown",
     )
     boxes = placed.where("kind = 'box'").select("doc_id", "page", "block", "cell_idx", "x", "y", "width", "height", "opened", "closing")
     boxes = boxes.join(tables.select("doc_id", "block", "cell_idx", "fill", "borders"), ["doc_id", "block", "cell_idx"])
@@ -521,6 +562,6 @@ def lay_out(
     pages = placed.where("kind = 'page'").select("doc_id", "page", "width", "height")
     message = F.element_at(F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv]), F.col("code"))
     own = placed.where("kind = 'diag'").select("doc_id", F.col("idx").alias("diag_seq"), F.lit("layout").alias("stage"), "code", message.alias("message"), F.lit(0).cast("bigint").alias("offset"))
-    diagnostics = R.diagnostics(events).unionByName(own)
+    diagnostics = parts.diagnostics.unionByName(own)
     errors = dims.where("error is not null").select("doc_id", F.col("error").alias("error_code")).unionByName(placed.where("kind = 'error'").select("doc_id", F.col("code").alias("error_code")))
     return Layout(pages, lines, pieces, rules, Y.display_list(pieces, rules, pages), diagnostics, errors)

@@ -291,35 +291,40 @@ def rules(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def display_list(texts: DataFrame, rectangles: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page, layer, line, piece, step, op, x, y, width, height, color, text): what to paint, in that order.
+    """(doc_id, page, layer, line, piece, step, op, x, y, width, height, color, text, font): what to paint, in that order.
 
     The page's white, then rectangles, then each piece of text: its highlight, its glyphs, its underline and its strike
     as lines of a sixteenth of the font size, half a point at least. A piece with an ``image_id`` is painted as that
-    image alone, named in ``text``.
+    image alone, named in ``text``; one that ``shown`` says cannot be painted is a pale box with its ``outline`` and its
+    ``diagonal`` from the upper left, lines of half a point.
     """
     none = lambda t: F.lit(None).cast(t)
     white = pages.select(
         "doc_id", "page", F.lit(0).alias("layer"), F.lit(0).alias("line"), F.lit(0).alias("piece"), F.lit(0).alias("step"), F.lit("fill").alias("op"),
-        F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "width", "height", F.lit("#ffffff").alias("color"), none("string").alias("text"),
+        F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), "width", "height", F.lit("#ffffff").alias("color"), none("string").alias("text"), none("string").alias("font"),
     )
     ruled = rectangles.select(
         "doc_id", "page", F.lit(1).alias("layer"), F.lit(0).alias("line"), F.lit(0).alias("piece"), F.col("z").alias("step"), F.lit("fill").alias("op"),
-        "x", "y", "width", "height", "color", none("string").alias("text"),
+        "x", "y", "width", "height", "color", none("string").alias("text"), none("string").alias("font"),
     )
     stroke = F.greatest(F.lit(0.5), F.col("font_size") / 16)
+    font = F.col("font") if "font" in texts.columns else none("string")
     step = lambda k, op, y, h, color, text=None: F.struct(
         F.lit(k).alias("step"), F.lit(op).alias("op"), F.col("x").alias("x"), y.alias("y"), F.col("width").alias("width"), h.alias("height"),
-        color.alias("color"), (none("string") if text is None else text).alias("text"),
+        color.alias("color"), (none("string") if text is None else text).alias("text"), (font if op == "text" else none("string")).alias("font"),
     )
     base = F.col("baseline")
     image = F.col("image_id") if "image_id" in texts.columns else none("string")
-    shown = image.isNotNull()
+    glyphs = image.isNull()
+    lost = ~glyphs & ~F.coalesce(F.col("shown") if "shown" in texts.columns else F.lit(True), F.lit(False))
+    box = lambda k, op, color: F.when(lost, step(k, op, F.col("y"), F.col("height"), F.lit(color), image))
     steps = F.array(
-        F.when(~shown & F.col("highlight").isNotNull(), step(0, "fill", F.col("y"), F.col("height"), F.col("highlight"))),
-        F.when(~shown, step(1, "text", base, F.col("height"), F.col("color"), F.col("text")))
-        .otherwise(step(1, "image", F.col("y"), F.col("height"), none("string"), image)),
-        F.when(~shown & F.col("underline"), step(2, "stroke", base + F.col("font_size") * 0.12, stroke, F.col("color"))),
-        F.when(~shown & F.col("strike"), step(3, "stroke", base - F.col("font_size") * 0.3, stroke, F.col("color"))),
+        F.when(glyphs & F.col("highlight").isNotNull(), step(0, "fill", F.col("y"), F.col("height"), F.col("highlight"))),
+        F.when(glyphs, step(1, "text", base, F.col("height"), F.col("color"), F.col("text")))
+        .when(~lost, step(1, "image", F.col("y"), F.col("height"), none("string"), image)),
+        F.when(glyphs & F.col("underline"), step(2, "stroke", base + F.col("font_size") * 0.12, stroke, F.col("color"))),
+        F.when(glyphs & F.col("strike"), step(3, "stroke", base - F.col("font_size") * 0.3, stroke, F.col("color"))),
+        box(1, "fill", "#f1f3f5"), box(2, "outline", "#9aa3ac"), box(3, "diagonal", "#9aa3ac"),  # fixed values
     )
     inked = texts.select("doc_id", "page", F.lit(2).alias("layer"), "line", "piece", F.inline(F.array_compact(steps)))
     return white.unionByName(ruled).unionByName(inked)

@@ -1,15 +1,25 @@
-"""The nested model of a document: one row each, for export as JSON. Analytics belong on the flat tables."""
+"""The nested model of a document: one row each, for export as JSON and for layout. Analytics belong on the flat tables.
+
+``model_schema.ddl`` beside this module holds the declared fields. ``python -m docframe.plans.model --write`` writes it
+from what the engine makes, ``--check`` fails where the two differ.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.operators import cells as C
 from docframe.operators import lists as L
 from docframe.operators import pictures as P
+from docframe.operators.document import Parts
 from docframe.sources import rtf as R
 
+DECLARED = Path(__file__).with_name("model_schema.ddl")
+
 
 def _style(s: Column) -> Column:
     flag = lambda n: F.coalesce(s[n], F.lit(False)).alias(n)
@@ -88,3 +98,99 @@ def document_model(events: DataFrame) -> DataFrame:
 def model_json(events: DataFrame) -> DataFrame:
     """(doc_id, json): null fields are left out, bytes are in base 64."""
     return document_model(events).select("doc_id", F.to_json("model").alias("json"))
+
+
+def declared_type() -> str:
+    """The model's type, as declared."""
+    return "struct<" + ",".join(DECLARED.read_text().split()) + ">"
+
+
+def made_fields(spark: SparkSession) -> str:
+    """The model's fields as the engine makes them, one on each line."""
+    none = R.parse(spark.createDataFrame([], "doc_id string, content binary"))
+    return "".join(f"{f.name}:{f.dataType.simpleString()}\n" for f in document_model(none).schema["model"].dataType.fields)
+
+
+def write_json(events: DataFrame, path: str) -> None:
+    """JSON lines of doc_id and model, one for each document that was read."""
+    document_model(events).write.json(path)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, model) of JSON lines; fields that are not declared are dropped."""
+    return spark.read.schema(f"doc_id string, model {declared_type()}").json(path)
+
+
+def models_of_json(rows: DataFrame) -> DataFrame:
+    """(doc_id, model) of (doc_id, json). A text that is no model has the error ``InvalidModel`` in its layout."""
+    return rows.select("doc_id", F.from_json("json", declared_type()).alias("model"))
+
+
+def parts_of_model(models: DataFrame) -> Parts:
+    """What a layout takes, from stored models (doc_id, model): pass rows that were written, they are read several times.
+
+    Columns and one explode for each table, no shuffle. Missing lists are empty; a model that is null or has no page has
+    the error ``InvalidModel`` and no pages.
+    """
+    m = models.select("doc_id", "model.*", (F.col("model").isNull() | F.col("model.page").isNull()).alias("_bad"))
+    good = m.where("not _bad")
+    each = lambda name, at: good.select("doc_id", F.posexplode(name).alias(at, "v"))
+    documents = m.select(
+        "doc_id", F.col("schemaVersion").alias("schema_version"), "page", F.coalesce("defaultTab", F.lit(36.0)).alias("default_tab"),
+        F.when(F.col("_bad"), "InvalidModel").alias("error_code"), F.lit(None).cast("bigint").alias("error_offset"),
+    )
+    blocks = each("blocks", "block").select("doc_id", "block", "v.*")
+    rows = blocks.where("kind = 'row'").select("doc_id", "block", F.coalesce("left", F.lit(0.0)).alias("left"), F.col("height.kind").alias("height_kind"), F.col("height.value").alias("height"), "align")
+    cells = blocks.where("kind = 'row'").select("doc_id", "block", F.posexplode("cells").alias("cell_idx", "c")).select(
+        "doc_id", "block", "cell_idx", (F.col("cell_idx") + 1).alias("island"), "c.right", "c.padding", "c.borders", F.col("c.verticalAlign").alias("vertical_align"), "c.shading"
+    )
+    one = lambda block, island, p: F.struct(
+        block.alias("block"), island.cast("int").alias("island"), p["runs"].alias("runs"), p["style"].alias("style"), p["markStyle"].alias("mark"), p["listMarker"].alias("marker")
+    )
+    inside = lambda b, i: F.flatten(F.transform(b["cells"], lambda c, k: F.transform(c["blocks"], lambda p: one(i, k + 1, p))))
+    found = F.flatten(F.transform("blocks", lambda b, i: F.when(b["kind"] == "paragraph", F.array(one(i, F.lit(None), b))).when(b["kind"] == "row", inside(b, i)).otherwise(F.array())))
+    paras = good.select("doc_id", F.posexplode(found).alias("para_seq", "x")).select("doc_id", "para_seq", "x.*")
+
+    def style(s: Column) -> Column:
+        return F.struct(
+            s["fontId"].alias("font_id"), (s["fontSize"] * 2).alias("half_points"), *[s[n].alias(n) for n in ("bold", "italic", "underline", "strike", "color", "highlight", "hidden")],
+            s["baseline"].alias("shift"),
+        )
+
+    runs = F.transform(
+        F.filter("runs", lambda r: (r["kind"] == "image") | ~F.coalesce(r["style"]["hidden"], F.lit(False))),
+        lambda r: F.struct(F.coalesce(r["text"], F.lit("")).alias("text"), style(r["style"]).alias("style"), r["imageId"].alias("image_id")),
+    )
+    s = lambda name: F.col(f"style.{name}")
+    p = F.struct(
+        s("align").alias("align"), s("leftIndent").alias("left_indent"), s("rightIndent").alias("right_indent"), s("firstLineIndent").alias("first_line_indent"),
+        F.coalesce(s("spaceBefore"), F.lit(0.0)).alias("space_before"), F.coalesce(s("spaceAfter"), F.lit(0.0)).alias("space_after"), s("lineSpacing").alias("line_spacing"),
+        F.coalesce(s("pageBreakBefore"), F.lit(False)).alias("page_break_before"), style(F.col("mark")).alias("mark_style"), F.lit(None).cast("string").alias("list_text"),
+    )
+    own = F.struct(s("leftIndent").alias("left_indent"), s("firstLineIndent").alias("first_line_indent"))
+    paragraphs = paras.select("doc_id", "block", "para_seq", p.alias("p"), runs.alias("r"), F.col("marker.text").alias("marker"), F.col("marker.follow").alias("follow"), own.alias("_own"))
+    stage = F.when(F.col("v.code").isin(*R.RESOLVED), "resolve").otherwise("parse")
+    return Parts(
+        documents,
+        each("fonts", "font_seq").select("doc_id", "font_seq", "v.id", "v.name", "v.charset", "v.codepage"),
+        each("colors", "idx").select("doc_id", "idx", F.col("v").alias("rgb")),
+        each("images", "image_seq").select("doc_id", "image_seq", F.col("v.id").alias("image_id"), "v.format", "v.data", "v.width", "v.height"),
+        rows, cells, paragraphs, paras.where("island is not null").select("doc_id", "block", "para_seq", "island"),
+        blocks.where("kind = 'pageBreak'").select("doc_id", "block"),
+        each("diagnostics", "diag_seq").select("doc_id", "diag_seq", stage.alias("stage"), "v.code", "v.message", "v.offset"),
+    )
+
+
+def main(argv: list[str]) -> int:
+    if argv not in (["--write"], ["--check"]):
+        print("usage: python -m docframe.plans.model --write|--check", file=sys.stderr)
+        return 2
+    made = made_fields(SparkSession.builder.getOrCreate())
+    if argv == ["--write"]:
+        DECLARED.write_text(made)
+        return 0
+    return 0 if DECLARED.exists() and DECLARED.read_text() == made else 1
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

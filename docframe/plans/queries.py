@@ -14,10 +14,11 @@ from docframe.operators import layout as Y
 from docframe.operators import lists as L
 from docframe.operators import pictures as P
 from docframe.operators.fonts import FIXED, Face
-from docframe.plans.model import document_model
+from docframe.plans.model import document_model, model_json, models_of_json, parts_of_model
 from docframe.runtime import ensure_importable, table, write_stage
 from docframe.sources import rtf as R
 from docframe.sources.encode import rtf_document, rtf_escape
+from docframe.sources.sinks import page_svg
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -229,7 +230,13 @@ def q19_exact_pagination(spark, d):
     return got.select(F.col("doc_id").cast("bigint").alias("l_orderkey"), line.alias("line"), "page", "y")
 
 
-@query()
+@query(r"""SELECT doc_id, CAST(list_sum(list_transform(string_split(text, chr(10)), lambda line: list_reduce(
+  list_prepend({'n': 1, 'used': 0, 'blank': false}, list_transform(regexp_extract_all(line, '[ \t]+|[^ \t]+'),
+    lambda t: {'n': 0, 'used': length_grapheme(t), 'blank': t[1] = ' ' OR t[1] = chr(9)})),
+  lambda a, t: {'n': a.n + CASE WHEN NOT t.blank AND a.used > 0 AND a.used + t.used > 90 THEN 1 ELSE 0 END
+      + CASE WHEN NOT t.blank AND t.used > 90 THEN (t.used - 1) // 90 ELSE 0 END,
+    'used': CASE WHEN t.blank THEN a.used + t.used WHEN t.used > 90 THEN t.used - 90 * ((t.used - 1) // 90)
+      WHEN a.used > 0 AND a.used + t.used > 90 THEN t.used ELSE a.used + t.used END, 'blank': false}).n)) AS BIGINT) AS n_lines FROM documents""")
 def q21_line_wrapping(spark, d):
     p = R.paragraph_texts(_text_events(spark, d, TEXTS))
     return Y.break_lines(p, 450.0).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sum(F.size("lines")).alias("n_lines"))
@@ -427,3 +434,33 @@ def q39_scoped_sections(spark, d):
     body = F.concat(F.lit("{\\sbknone a\\sect b\\sect}c\\sect"), F.expr("repeat(' d\\\\sect', cast(o_custkey % 3 as int))"), F.lit(" e\\par"))
     e = _events(o, "o_orderkey", body, {"pagebreak"})
     return e.where("etype = 'pagebreak'").groupBy(F.col("doc_id").cast("bigint").alias("o_orderkey")).agg(F.count("*").alias("n_breaks"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(ceil((c_custkey % 17 + 1) / 4.0) AS BIGINT) AS n_pages, CAST(c_custkey % 17 + 1 AS BIGINT) AS n_lines, 20.0 + 10.0 * (c_custkey % 17 % 4) AS last_y FROM customer")
+def q40_stored_model_pages(spark, d):
+    c = table(spark, d, "customer")
+    lines = F.expr("repeat('x\\\\par ', cast(c_custkey % 17 + 1 as int))")
+    e = _events(c, "c_custkey", F.concat(F.lit("\\paperw4000\\paperh1600\\margl400\\margr400\\margt400\\margb400 "), lines), keep=True)
+    stored = write_stage(models_of_json(model_json(e)), "models")
+    lines = D.lay_out_parts(parts_of_model(stored), default=FIXED).lines
+    return lines.groupBy(F.col("doc_id").cast("bigint").alias("c_custkey")).agg(
+        (F.max("page") + 1).cast("bigint").alias("n_pages"), F.count("*").alias("n_lines"), F.max_by("y", F.struct("page", "line")).alias("last_y")
+    )
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, op, CAST(step AS INTEGER) AS step, 20.0 AS x, 20.0 AS y, (s_suppkey % 30 + 1) * 2.0 AS width, 20.0 AS height, color FROM supplier, (VALUES ('fill', 1, '#f1f3f5'), ('outline', 2, '#9aa3ac'), ('diagonal', 3, '#9aa3ac')) t(op, step, color)")
+def q41_lost_pictures(spark, d):
+    s = table(spark, d, "supplier")
+    wide = ((F.col("s_suppkey") % 30 + 1) * 40).cast("string")
+    body = F.concat(F.lit("\\paperw4000\\paperh1600\\margl400\\margr400\\margt400\\margb400{\\pict\\emfblip\\pichgoal400\\picwgoal"), wide, F.lit(" 00}\\par"))
+    paint = D.lay_out(_events(s, "s_suppkey", body), default=FIXED).display_list.where("layer = 2")
+    return paint.select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "op", "step", "x", "y", "width", "height", "color")
+
+
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CAST(0 AS INTEGER) AS page, '<svg xmlns="http://www.w3.org/2000/svg" width="1000pt" height="80pt" viewBox="0 0 1000 80">' || chr(10)
+|| '<rect x="0" y="0" width="1000" height="80" fill="#ffffff"/>' || chr(10) || '<text x="20" y="28" fill="#000000" style="font: 10px serif, serif" xml:space="preserve">' || s_suppkey || '&lt;&amp;&gt;</text>' || chr(10) || '</svg>' AS svg FROM supplier""")
+def q42_page_svg(spark, d):
+    s = table(spark, d, "supplier")
+    body = F.concat(F.lit("\\paperw20000\\paperh1600\\margl400\\margr400\\margt400\\margb400\\fs20 "), F.col("s_suppkey").cast("string"), F.lit("<&>\\par"))
+    laid = D.lay_out(_events(s, "s_suppkey", body), default=FIXED)
+    return page_svg(laid).select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "page", "svg")

@@ -1 +1 @@
-
+"""Streams of arriving documents."""

@@ -21,7 +21,7 @@ def laid(spark, bodies, **options):
 
 def item(text=None, **values):
     base = {"text": text, "image_id": None, "width": 0.0, "height": 0.0, "family": "a", "line_box": None, "font": "", "font_size": 10.0, "shift": 0.0}
-    return base | {"color": "#000000", "highlight": None, "underline": False, "strike": False} | values
+    return base | {"color": "#000000", "highlight": None, "underline": False, "strike": False, "shown": True} | values
 
 
 def frame(**values):
