@@ -34,6 +34,10 @@ BOILERPLATE = (
 )
 
 
+#: The phrases; looking at the first letter spares most positions the trial of all phrases.
+_PHRASE = f"(?iu)(?=[{''.join(sorted({p[0] for p in BOILERPLATE}))}])(?:{'|'.join(BOILERPLATE)})"
+
+
 @dataclass(frozen=True)
 class LineRules:
     """Thresholds; all are per line but ``min_retention`` and the base limits."""
@@ -53,10 +57,19 @@ def _count(text: Column, one_char_class: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, one_char_class + "+", ""))
 
 
+def line_parts(line: Column) -> Column:
+    """What several rules ask of a line, so that it is found once: the line, without blanks at its ends, its words."""
+    bare = F.btrim(line, F.lit(SPACES))
+    return F.struct(line.alias("line"), bare.alias("bare"), F.size(F.split(bare, SPACE_CLASS + "+")).alias("n_words"))
+
+
 def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
     """True if one line breaks a punctuation, navigation or boilerplate rule. Blank lines do not fail."""
-    bare = F.btrim(line, F.lit(SPACES))
-    n_words = F.size(F.split(bare, SPACE_CLASS + "+"))
+    return _parts_fail(line_parts(line), rules)
+
+
+def _parts_fail(parts: Column, rules: LineRules) -> Column:
+    line, bare, n_words = (parts[name] for name in ("line", "bare", "n_words"))
     symbols = _count(line, SYMBOL_CLASS)
     exclaims = _count(line, "[!]")
     bars = _count(line, "[|›•]")
@@ -69,7 +82,7 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
     shouted = (
         (F.length(bare) >= rules.min_shout_letters) & ~line.rlike("\\p{Ll}") & line.rlike("\\p{Lu}")
     )
-    phrase = (n_words <= rules.boilerplate_words) & line.rlike("(?iu)" + "|".join(BOILERPLATE))
+    phrase = (n_words <= rules.boilerplate_words) & line.rlike(_PHRASE)
     return (F.length(bare) > 0) & (punctuation | navigation | shouted | phrase)
 
 
@@ -101,20 +114,20 @@ def _statistics(df: DataFrame, at: str) -> DataFrame:
     df = df.withColumn("_windows", windows).withColumn(
         "_repeats", F.size("_windows") != F.size(F.array_distinct("_windows"))
     )
-    df = df.withColumn("_unit", F.pow(F.lit(2.0), F.length(F.bin(F.size("_windows")))).cast("long"))
-    packed = F.sort_array(
-        F.transform("_windows", lambda h, i: F.coalesce(h - F.pmod(h, F.col("_unit")) + i, F.lit(0).cast("long")))
-    )
+    df = df.withColumn("_bits", F.length(F.bin(F.size("_windows"))))
+    df = df.withColumn("_low", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)
+    high = lambda h: h.bitwiseAND(F.bitwise_not(F.col("_low")))
+    packed = F.sort_array(F.transform("_windows", lambda h, i: F.coalesce(high(h).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))))
     df = df.withColumn("_packed", F.when(F.col("_repeats"), packed))
-    place = lambda x: F.coalesce(F.pmod(x, F.col("_unit")), F.lit(0).cast("long"))
-    top = lambda x: F.shiftright(x, 1) - F.pmod(F.shiftright(x, 1), F.expr("_unit div 2"))
+    place = lambda x: F.coalesce(x.bitwiseAND(F.col("_low")), F.lit(0).cast("long"))
     near = lambda a, k: F.get(F.col(a), k)
 
     def meets(x: Column, y: Column) -> Column:
         """Of two neighbours: 0 if they do not look alike, 1 if they are equal, 2 if they only look so."""
         p, q = place(x), place(y)
         equal = (word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2))
-        return F.when(top(x) == top(y), F.when(equal, 1).otherwise(2)).otherwise(0)
+        alike = F.call_function("shiftright", x.bitwiseXOR(y), F.col("_bits")) == 0
+        return F.when(alike, F.when(equal, 1).otherwise(2)).otherwise(0)
 
     df = df.withColumn("_met", F.transform(F.col("_packed"), lambda x, i: meets(x, near("_packed", i + 1))))
     met = lambda i: F.coalesce(near("_met", i) == 1, F.lit(False))
@@ -141,7 +154,7 @@ def _statistics(df: DataFrame, at: str) -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(F.when(F.col("_repeats"), covered), F.lit(0)).cast("long"),
         }
-    ).drop("_words", "_windows", "_repeats", "_unit", "_packed", "_met", "_unlike", "_spelled", "_at", "_lines")
+    ).drop("_words", "_windows", "_repeats", "_bits", "_low", "_packed", "_met", "_unlike", "_spelled", "_at", "_lines")
 
 
 def with_base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -170,7 +183,7 @@ def _judged(df: DataFrame, at: str, rules: LineRules) -> DataFrame:
     lines = F.split(F.coalesce(F.col(at), F.lit("")), "\n")
     df = df.withColumn("base_failed", base_failed)
     df = df.withColumn("_all_lines", lines).withColumn(
-        "_good", F.filter(F.col("_all_lines"), lambda x: ~line_fails(x, rules))
+        "_good", F.transform(F.filter(F.transform("_all_lines", line_parts), lambda x: ~_parts_fail(x, rules)), lambda x: x["line"])
     )
     df = df.withColumns(
         {
