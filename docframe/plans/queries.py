@@ -273,10 +273,15 @@ def q24_pixel_size(spark, d):
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n_codes FROM (SELECT event_id, event_type, unnest(['unsupported-control', 'unknown-destination']) FROM events) GROUP BY event_type")
 def q25_diagnostics(spark, d):
-    e = table(spark, d, "events")
-    body = F.concat(F.lit("\\nosuchword\\nosuchword{\\*\\nosuchgroup a}{\\*\\nosuchgroup b}"), F.col("event_type"), F.lit("\\par"))
-    ev = _events(e, "event_id", body, {"diag", "run"}, keep=True)
-    return R.diagnostics(ev).join(R.runs(ev).select("doc_id", F.col("text").alias("event_type")), "doc_id").groupBy("event_type").agg(F.count("*").alias("n_codes"))
+    e = table(spark, d, "events").withColumn("row", F.monotonically_increasing_id())  # an event_id may be null or repeated
+    body = F.concat(F.lit("\\nosuchword\\nosuchword{\\*\\nosuchgroup a}{\\*\\nosuchgroup b}"), F.coalesce(F.concat("event_type", F.lit("\\par")), F.lit("")))
+    ev = _events(e, "row", body, {"diag"} | TEXTS, keep=True)
+    # Grouped, not joined: the compressed size of a stage is small, so a join would broadcast its millions of rows.
+    none = F.lit(None).cast("string")
+    codes = R.diagnostics(ev).select("doc_id", "code", none.alias("text"))
+    both = codes.unionByName(R.paragraph_texts(ev).select("doc_id", none.alias("code"), "text"))
+    one = both.groupBy("doc_id").agg(F.max("text").alias("event_type"), F.count("code").alias("n"))
+    return one.where("n > 0").groupBy("event_type").agg(F.sum("n").alias("n_codes"))
 
 
 @query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'UnterminatedGroup' WHEN 1 THEN 'UnexpectedGroupEnd' WHEN 2 THEN 'TruncatedBinary' WHEN 3 THEN 'InvalidHeader' ELSE NULL END AS error_code FROM customer")

@@ -64,3 +64,18 @@ def test_line_wrapping_counts(spark):
 
     want = {r["doc_id"]: n_lines(r["text"]) for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
     assert {r["doc_id"]: r["n_lines"] for r in QUERIES["q21_line_wrapping"](spark, D).collect()} == want
+
+
+def test_diagnostics_without_broadcast(spark):
+    plan = QUERIES["q25_diagnostics"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Broadcast" not in plan and "Join" not in plan
+
+
+def test_diagnostics_of_odd_rows(spark, tmp_path):
+    events = [(1, "view"), (2, None), (3, ""), (3, "click"), (3, "view"), (None, "click"), (None, None), (None, "view")]
+    spark.createDataFrame(events, "event_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = rows(QUERIES["q25_diagnostics"](spark, str(tmp_path)).toPandas())
+    assert got == rows(con.execute(SQL["q25_diagnostics"]).df())
+    assert got[1] == sorted([("view", 6), ("click", 4), (None, 4), ("", 2)], key=repr)
